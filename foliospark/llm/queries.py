@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import exact_dedup, packing
+from foliospark.llm import exact_dedup, jaccard, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of links at four-word shingles and 85 of 100."""
+    return jaccard.ngram_jaccard(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 #: DuckDB's lower() folds all letters; translate folds A-Z alone.
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -45,4 +50,5 @@ SQL = {
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
 }
