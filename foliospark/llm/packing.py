@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +73,14 @@ class WordCache:
         return b"".join(made)
 
 
+@lru_cache(maxsize=2)
+def word_cache(path: str) -> WordCache:
+    """One cache for each tokenizer and worker process, kept from task to task."""
+    return WordCache(path)
+
+
 def _cut(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    cache = WordCache(path)
+    cache = word_cache(path)
     tail = np.array([end_id], "<u4").tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     for batch in batches:
