@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,7 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, total[ids]
 
 
+@lru_cache(maxsize=1)
 def gram_vectors(seed: int = 7) -> np.ndarray:
     """The hypervector of each n-gram: its letters' random signs, permuted by position and bound by product."""
     rng = np.random.default_rng(seed)
@@ -113,7 +115,7 @@ def train(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> tuple[list[str
     langs, rows_of = [], []
     for lang, grams in sorted((r.lang, r.grams) for r in packed.toLocalIterator()):
         ids, n = np.array([g.gram for g in grams]), np.array([g.n for g in grams], np.float64)
-        bundle = n @ vectors[ids]
+        bundle = sum(n[at : at + 4096] @ vectors[ids[at : at + 4096]] for at in range(0, len(ids), 4096))
         langs.append(lang)
         rows_of.append(bundle)
     proto = np.array(rows_of, np.float64).reshape(len(langs), DIMENSIONS)
@@ -122,7 +124,7 @@ def train(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> tuple[list[str
 
 
 def _predict(batches: Iterator[pa.RecordBatch], langs: list[str], unit: np.ndarray) -> Iterator[pa.RecordBatch]:
-    vectors = gram_vectors().astype(np.float32)
+    vectors = gram_vectors()
     proto = unit.T.astype(np.float32)
     for batch in batches:
         names, scores = [], []
@@ -132,7 +134,7 @@ def _predict(batches: Iterator[pa.RecordBatch], langs: list[str], unit: np.ndarr
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            bundle = counts.astype(np.float32) @ vectors[ids]
+            bundle = counts.astype(np.float32) @ vectors[ids].astype(np.float32)
             cosine = bundle @ proto / max(float(np.linalg.norm(bundle)), 1e-12)
             best = int(np.argmax(cosine))
             names.append(langs[best])

@@ -7,6 +7,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -21,6 +22,8 @@ TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_CHARS = 2_500, 5_000, 20_000
 TOXIC_BYTES, COMMON_BYTES, GRAM = 8_192, 3_072, 5
 #: A substring is toxic if it is this many times as frequent in toxic texts, in so many of them at least.
 RATIO, LEAST = 20.0, 5
+#: Largest share of ordinary calibration texts that the threshold may call toxic.
+FALSE_ALARMS = 0.005
 #: Bytes of a window's text (a longer word gives several) and words whose result a worker remembers.
 WINDOW, CACHE_WORDS = 64, 700_000
 
@@ -80,10 +83,10 @@ class WindowGain:
         return gain
 
     def best(self, text: str | None) -> tuple[int, int]:
-        """The largest gain of a text's windows, and how many distinct words reach it or come within two bytes."""
+        """The largest gain of a text's windows, and how many distinct words reach it."""
         gains = [self.of(w) for w in set(words_of(text))]
         most = max(gains, default=-99)
-        return most, sum(g >= most - 2 for g in gains)
+        return most, gains.count(most)
 
 
 def _toxic_segments(toxic: list[str], ordinary: list[str]) -> list[bytes]:
@@ -159,8 +162,8 @@ def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel | None:
     gain = WindowGain(draft)
     bad = [gain.best(t)[0] for t in rest(toxic)]
     good = [gain.best(t)[0] for t in rest(ordinary)]
-    right = lambda t: sum(x >= t for x in bad) / max(1, len(bad)) + sum(x < t for x in good) / max(1, len(good))
-    threshold = max(range(1, 40), key=lambda t: (round(right(t), 6), -abs(t - 5)))
+    fine = [t for t in range(1, 40) if sum(x >= t for x in good) <= FALSE_ALARMS * len(good)]
+    threshold = max(fine or [39], key=lambda t: (sum(x >= t for x in bad), t))
     return ToxicModel(draft.toxic, common, draft.carrier, float(threshold))
 
 
@@ -185,8 +188,14 @@ def hash_order(key: int) -> int:
     return (int(key) * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % (1 << 61)
 
 
+@lru_cache(maxsize=2)
+def window_gain(model: ToxicModel) -> WindowGain:
+    """One pair of compressors with its memory for each model and worker process."""
+    return WindowGain(model)
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: ToxicModel | None) -> Iterator[pa.RecordBatch]:
-    gain = WindowGain(model) if model else None
+    gain = window_gain(model) if model else None
     for batch in batches:
         scores = []
         for text in batch.column(1):
@@ -218,7 +227,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gain = WindowGain(model) if model else None
+        gain = window_gain(model) if model else None
         for batch in batches:
             if gain is None:
                 yield batch
