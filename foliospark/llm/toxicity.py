@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -19,9 +20,11 @@ from foliospark.llm.common import held_out, only
 #: Bounds of the training sample: documents of each label, and characters of a document that may be sampled.
 TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_CHARS = 2_500, 5_000, 20_000
 #: Bytes of the dictionaries' parts, and of the substrings that tell toxic words.
-TOXIC_BYTES, COMMON_BYTES, GRAM = 8_192, 3_072, 5
-#: A substring is toxic if it is this many times as frequent in toxic texts, in so many of them at least.
+TOXIC_BYTES, COMMON_BYTES, GRAMS = 8_192, 3_072, (5, 7, 8, 9)
+#: A substring of the shortest length is toxic if it is this many times as frequent in toxic texts, in so many of them.
 RATIO, LEAST = 20.0, 5
+#: A longer one, which ordinary syllables may form by chance, must be in a share of the toxic texts too.
+LONG_RATIO, LONG_SHARE = 20.0, 0.03
 #: Largest share of ordinary calibration texts that the threshold may call toxic.
 FALSE_ALARMS = 0.005
 #: Bytes of a window's text (a longer word gives several) and words whose result a worker remembers.
@@ -38,18 +41,24 @@ def _framed(word: bytes) -> bytes:
 
 
 def _grams(word: bytes) -> set[bytes]:
-    framed = _framed(word)
-    return {framed[i : i + GRAM] for i in range(len(framed) - GRAM + 1)}
+    return _parts(_framed(word))
+
+
+def _parts(framed: bytes) -> set[bytes]:
+    return {framed[i : i + n] for n in GRAMS for i in range(len(framed) - n + 1)}
 
 
 @dataclass(frozen=True)
 class ToxicModel:
-    """Raw contents of both dictionaries, the text that closes each window, and the calibrated threshold."""
+    """Raw contents of both dictionaries, the text that closes each window, and the calibrated weights.
+
+    The last weight is the threshold on the weighted sum of a text's gains.
+    """
 
     toxic: bytes
     ordinary: bytes
     carrier: bytes
-    threshold: float
+    weights: tuple[float, ...] = ()
 
 
 class WindowGain:
@@ -82,15 +91,36 @@ class WindowGain:
                 self.known[word] = gain
         return gain
 
-    def best(self, text: str | None) -> tuple[int, int]:
-        """The largest gain of a text's windows, and how many distinct words reach it."""
-        gains = [self.of(w) for w in set(words_of(text))]
-        most = max(gains, default=-99)
-        return most, gains.count(most)
+    def features(self, text: str | None) -> list[float]:
+        """The three largest gains of a text's distinct words, and how many gain two bytes or more."""
+        gains = sorted((max(g, 0) for g in map(self.of, set(words_of(text)))), reverse=True)
+        number = sum(g >= 2 for g in gains)
+        return [*gains[:3], *[0] * (3 - len(gains[:3])), math.log1p(number), 10 * number / (10 + len(gains))]
+
+    def score(self, text: str | None, weights: tuple[float, ...]) -> float:
+        """From 0 to 1; at least 0.5 if the weighted gains reach the threshold."""
+        over = sum(w * f for w, f in zip(weights, self.features(text), strict=False)) - weights[-1]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, over))))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights, then the intercept, of a logistic regression with a small ridge, classes weighted alike."""
+    wide = np.column_stack([x, np.ones(len(x))])
+    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    w = np.zeros(wide.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(wide @ w, -30, 30)))
+        slope = wide.T @ (share * (y - p)) - 0.5 * w
+        curve = (wide * (share * p * (1 - p))[:, None]).T @ wide + 0.5 * np.eye(len(w))
+        w = w + np.clip(np.linalg.solve(curve, slope), -2, 2)
+    return w
 
 
 def _toxic_segments(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Runs of substrings that toxic texts have far more often, picked greedily by what they newly cover."""
+    """Runs of substrings that toxic texts have far more often, picked greedily by what they newly cover.
+
+    Of substrings that tell, only those count that hold no shorter one, so no ordinary ending is learned with a stem.
+    """
     counts = []
     for texts in (toxic, ordinary):
         by_word: Counter[bytes] = Counter()
@@ -106,22 +136,32 @@ def _toxic_segments(toxic: list[str], ordinary: list[str]) -> list[bytes]:
         for gram in _grams(word):
             if gram in here:
                 there[gram] += n
-    scale = RATIO * (len(toxic) + 1) / (len(ordinary) + 1)
-    marked = {g: n for g, n in here.items() if n >= LEAST and n + 0.5 > scale * (there[g] + 0.5)}
+    scale = (len(toxic) + 1) / (len(ordinary) + 1)
+    short, most = GRAMS[0], max(LEAST, LONG_SHARE * len(toxic))
+    marked = {g: n for g, n in here.items() if n >= (LEAST if len(g) == short else most) and n + 0.5 > (RATIO if len(g) == short else LONG_RATIO) * scale * (there[g] + 0.5)}
+    for gram in sorted(marked, key=len, reverse=True):
+        if any(gram[i : i + n] in marked for n in GRAMS if n < len(gram) for i in range(len(gram) - n + 1)):
+            del marked[gram]
     runs: Counter[bytes] = Counter()
     for word, n in counts[0].items():
-        framed, at = _framed(word), 0
-        while at <= len(framed) - GRAM:
+        framed = _framed(word)
+        inside = [False] * len(framed)
+        for length in GRAMS:
+            for at in range(len(framed) - length + 1):
+                if framed[at : at + length] in marked:
+                    inside[at : at + length] = [True] * length
+        at = 0
+        while at < len(framed):
             end = at
-            while end <= len(framed) - GRAM and framed[end : end + GRAM] in marked:
+            while end < len(framed) and inside[end]:
                 end += 1
             if end > at:
-                runs[framed[at : end - 1 + GRAM]] += n
+                runs[framed[at:end]] += n
             at = end + 1
     covered: set[bytes] = set()
 
     def value(run: bytes) -> int:
-        return sum(marked.get(g, 0) for g in {run[i : i + GRAM] for i in range(len(run) - GRAM + 1)} - covered)
+        return sum(marked.get(g, 0) for g in _parts(run) - covered)
 
     heap = [(-value(r), r) for r in runs]
     heapq.heapify(heap)
@@ -138,7 +178,7 @@ def _toxic_segments(toxic: list[str], ordinary: list[str]) -> list[bytes]:
             break
         picked.append(run)
         size += len(run)
-        covered |= {run[i : i + GRAM] for i in range(len(run) - GRAM + 1)}
+        covered |= _parts(run)
     return picked
 
 
@@ -158,13 +198,15 @@ def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel | None:
         common = zstandard.train_dictionary(4096, samples, k=64, d=8, level=3).as_bytes()[-COMMON_BYTES:]
     except zstandard.ZstdError:
         common = b"".join(samples)[-COMMON_BYTES:]
-    draft = ToxicModel(common + b"".join(reversed(segments)), common, common[-32:], 0.0)
+    draft = ToxicModel(common + b"".join(reversed(segments)), common, common[-32:])
     gain = WindowGain(draft)
-    bad = [gain.best(t)[0] for t in rest(toxic)]
-    good = [gain.best(t)[0] for t in rest(ordinary)]
-    fine = [t for t in range(1, 40) if sum(x >= t for x in good) <= FALSE_ALARMS * len(good)]
-    threshold = max(fine or [39], key=lambda t: (sum(x >= t for x in bad), t))
-    return ToxicModel(draft.toxic, common, draft.carrier, float(threshold))
+    bad, good = ([gain.features(t) for t in rest(texts)] for texts in (toxic, ordinary))
+    y = np.r_[np.ones(len(bad)), np.zeros(len(good))]
+    x = np.array(bad + good, float)
+    w = _logistic(x, y)
+    line = np.sort((x @ w[:-1])[y == 0])
+    allowed = float(line[-1 - int(FALSE_ALARMS * len(line))]) + 1e-6
+    return ToxicModel(draft.toxic, common, draft.carrier, (*map(float, w[:-1]), max(allowed, -float(w[-1]))))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicModel | None:
@@ -202,17 +244,15 @@ def _score(batches: Iterator[pa.RecordBatch], model: ToxicModel | None) -> Itera
             if gain is None:
                 scores.append(0.0)
                 continue
-            most, number = gain.best(text.as_py())
-            over = most - (model.threshold - 0.5)
-            scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, over + 0.1 * math.log(max(1, number)) * (over > 0))))))
+            scores.append(gain.score(text.as_py(), model.weights))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: ToxicModel | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Each word of the whole text is a window; a text is toxic if the toxic dictionary saves at least the
-    calibrated number of bytes on one of them. Null, empty and blank texts score near 0, and all texts score 0
+    Each word of the whole text is a window; a text is toxic if what the toxic dictionary saves on its windows
+    reaches the calibrated threshold. Null, empty and blank texts score near 0, and all texts score 0
     if there are no labels to learn from. A null doc_id is not held out. Extra columns are ignored; an empty table gives no rows.
     """
     model = model or train(docs, labels)
@@ -232,7 +272,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             if gain is None:
                 yield batch
                 continue
-            clean = [gain.best(t.as_py())[0] < model.threshold for t in batch.column(at)]
+            clean = [gain.score(t.as_py(), model.weights) < 0.5 for t in batch.column(at)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(keep, schema)
