@@ -112,32 +112,35 @@ def _profiles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "n", "cls"])
 
 
-_BUCKETS = pa.schema([("bucket", pa.int32()), ("cls", pa.binary()), ("size", pa.binary()), ("run", pa.binary()), ("tok", pa.binary())])
+_BUCKETS = pa.schema([("bucket", pa.int32()), ("cls", pa.binary()), ("size", pa.binary()), ("run", pa.binary()), ("tok", pa.binary()), ("df", pa.binary())])
+_BUCKET_SQL = "bucket int, cls binary, size binary, run binary, tok binary, df binary"
 
 
-def _deal(cls: list[int], sets: list[np.ndarray], sizes: list[int], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Tokens by bucket as packed arrays: a class, its size and number of tokens, then the tokens."""
-    tok = np.concatenate(sets)
-    counts = np.array([len(s) for s in sets])
-    row = np.repeat(np.arange(len(sets)), counts)
-    bucket = (tok % _U(buckets)).astype(np.int64)
+def _packed(bucket: np.ndarray, cls: np.ndarray, size: np.ndarray, tok: np.ndarray, df: np.ndarray | None = None) -> pa.Table:
+    """Tokens as packed arrays, a row for each bucket: classes, their sizes and numbers of tokens, then the tokens."""
     order = np.argsort(bucket, kind="stable")
-    tok, row, bucket = tok[order], row[order], bucket[order]
-    ids, size = np.array(cls, np.int64), np.array(sizes, np.int64)
+    bucket, cls, size, tok = bucket[order], cls[order], size[order], tok[order]
+    df = np.zeros(0, np.int32) if df is None else df[order]
     borders = np.flatnonzero(np.diff(bucket)) + 1
     out: list[list] = [[] for _ in _BUCKETS]
-    for start, stop in zip(np.r_[0, borders], np.r_[borders, len(tok)], strict=True):
-        mine = row[start:stop]
+    for start, stop in zip(np.r_[0, borders], np.r_[borders, len(tok)], strict=True) if len(tok) else ():
+        mine = cls[start:stop]
         first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
-        run = np.diff(np.r_[first, len(mine)])
-        who = mine[first]
-        for column, value in zip(out, (int(bucket[start]), ids[who].tobytes(), size[who].tobytes(), run.astype(np.int32).tobytes(), tok[start:stop].tobytes()), strict=True):
+        run = np.diff(np.r_[first, len(mine)]).astype(np.int32)
+        values = (int(bucket[start]), mine[first].tobytes(), size[start:stop][first].tobytes(), run.tobytes(), tok[start:stop].tobytes(), df[start:stop].tobytes())
+        for column, value in zip(out, values, strict=True):
             column.append(value)
-    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _BUCKETS, strict=True)], schema=_BUCKETS)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, _BUCKETS, strict=True)], schema=_BUCKETS)
+
+
+def _by_token(cls: list[int], sets: list[np.ndarray], sizes: list[int], buckets: int) -> Iterator[pa.RecordBatch]:
+    tok, counts = np.concatenate(sets), np.array([len(s) for s in sets])
+    bucket = (tok % _U(buckets)).astype(np.int64)
+    yield from _packed(bucket, np.repeat(np.array(cls, np.int64), counts), np.repeat(np.array(sizes, np.int64), counts), tok).to_batches()
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, buckets: int, extended: bool) -> Iterator[pa.RecordBatch]:
-    """The tokens with the smallest hashes of each set, once for each distinct set of the task."""
+def _sent(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, buckets: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Whole sets or their extended prefixes by token bucket, once for each distinct set of the task."""
     seen: set[int] = set()
     cls, sets, sizes, held = [], [], [], 0
     for batch in batches:
@@ -150,40 +153,73 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int,
                 continue
             if len(seen) < 500_000:
                 seen.add(c)
-            take = prefix_lengths(len(x), num, den)[0] if extended else len(x) - least_overlap(len(x), num, den) + 1
+            take = len(x) if whole else prefix_lengths(len(x), num, den)[0]
             cls.append(c)
             sizes.append(len(x))
             sets.append(x[:take])
             held += take
             if held > FLUSH_TOKENS:
-                yield from _deal(cls, sets, sizes, buckets)
+                yield from _by_token(cls, sets, sizes, buckets)
                 cls, sets, sizes, held = [], [], [], 0
     if cls:
-        yield from _deal(cls, sets, sizes, buckets)
+        yield from _by_token(cls, sets, sizes, buckets)
 
 
-def _gather(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, class, size) of one bucket, sorted, each pair once, tokens of a single class left out."""
-    def flat(name: str, kind: type) -> np.ndarray:
-        return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+def _flat(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
-    run = flat("run", np.int32)
-    tok, cls, size = flat("tok", _U), np.repeat(flat("cls", np.int64), run), np.repeat(flat("size", np.int64), run)
+
+def _gather(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, class, size, number of classes with the token) of one bucket, sorted by token and class.
+
+    Each pair comes once, and tokens of a single class are left out.
+    """
+    run = _flat(table, "run", np.int32)
+    tok, cls, size = _flat(table, "tok", _U), np.repeat(_flat(table, "cls", np.int64), run), np.repeat(_flat(table, "size", np.int64), run)
     order = np.lexsort((cls, tok))
     tok, cls, size = tok[order], cls[order], size[order]
-    fresh = np.r_[True, (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])] if len(tok) else np.zeros(0, bool)
-    tok, cls, size = tok[fresh], cls[fresh], size[fresh]
-    same = np.r_[False, tok[1:] == tok[:-1]] if len(tok) else np.zeros(0, bool)
-    shared = same | np.r_[same[1:], False] if len(tok) else same
-    return tok[shared], cls[shared], size[shared]
+    if len(tok):
+        fresh = np.r_[True, (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])]
+        tok, cls, size = tok[fresh], cls[fresh], size[fresh]
+    first = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if len(tok) else np.zeros(0, np.int64)
+    many = np.diff(np.r_[first, len(tok)])
+    df = np.repeat(many, many).astype(np.int32)
+    shared = df > 1
+    return tok[shared], cls[shared], size[shared], df[shared]
 
 
 def _shared_counts(table: pa.Table) -> pa.Table:
-    _, cls, _ = _gather(table)
-    ids, counts = np.unique(cls, return_counts=True)
+    ids, counts = np.unique(_gather(table)[1], return_counts=True)
     return pa.table({"cls": pa.array(ids, pa.int64()), "met": pa.array(counts, pa.int64())})
 
 
+def _weighed(table: pa.Table, buckets: int) -> pa.Table:
+    """The shared tokens of one token bucket with their numbers of classes, by class bucket."""
+    tok, cls, size, df = _gather(table)
+    order = np.lexsort((tok, cls))
+    tok, cls, size, df = tok[order], cls[order], size[order], df[order]
+    return _packed((cls.view(_U) % _U(buckets)).astype(np.int64), cls, size, tok, df)
+
+
+def _rare_prefixes(table: pa.Table, num: int, den: int, buckets: int) -> pa.Table:
+    """Prefixes in order of rarity of the sets that share enough tokens with others at all, by token bucket.
+
+    Tokens that no other set has come first in that order, so of the n - T + 1 tokens of a prefix only what
+    those leave over is taken from the shared ones, rarest first.
+    """
+    run = _flat(table, "run", np.int32)
+    tok, df = _flat(table, "tok", _U), _flat(table, "df", np.int32)
+    cls, size = np.repeat(_flat(table, "cls", np.int64), run), np.repeat(_flat(table, "size", np.int64), run)
+    order = np.lexsort((tok, df, cls))
+    tok, cls, size = tok[order], cls[order], size[order]
+    first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]]) if len(cls) else np.zeros(0, np.int64)
+    shared = np.diff(np.r_[first, len(cls)])
+    place = np.arange(len(cls)) - np.repeat(first, shared)
+    keep = place < np.repeat(shared, shared) - least_overlap(size, num, den) + 1
+    tok, cls, size = tok[keep], cls[keep], size[keep]
+    return _packed((tok % _U(buckets)).astype(np.int64), cls, size, tok)
+
+
 class _Forest:
     """Union-find that keeps the smallest id as root."""
 
@@ -216,7 +252,7 @@ def _candidates(table: pa.Table, num: int, den: int) -> pa.Table:
     Sorted by size, any two of a list that fit each other have only fitting neighbours between them, so
     linking neighbours keeps their connection without a pair for each two.
     """
-    tok, cls, size = _gather(table)
+    tok, cls, size, _ = _gather(table)
     order = np.lexsort((size, tok))
     tok, cls, size = tok[order], cls[order], size[order]
     near = np.flatnonzero((tok[1:] == tok[:-1]) & (size[:-1] * den >= size[1:] * num))
@@ -310,36 +346,41 @@ def set_classes(docs: DataFrame, words: int) -> DataFrame:
 def class_links(docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Spanning edges (u, v) of all links between different shingle sets.
 
-    ``classes`` has one row (cls, n, rep) for each distinct set. Of each set only tokens with the smallest hashes
-    travel, packed by bucket. A linked set shares all but n - T of its tokens, so of the extended
-    prefixes it must share at least the number that :func:`prefix_lengths` gives for the smaller of the two, which has
-    at least T tokens; sets that meet fewer are out. The sets left are joined by the plain prefixes into candidate groups, of which only spanning edges are sent, and each
-    group's whole sets meet once for the exact search; a group of over ``BLOCK`` sets in pairs of blocks.
+    ``classes`` has one row (cls, n, rep) for each distinct set. A set can only link with sets of which it shares
+    T = num/den of its tokens, so most sets are ruled out by counting. First only the tokens with the smallest hashes of
+    each set travel, packed by bucket: of two linked sets' extended prefixes at least the number that
+    :func:`prefix_lengths` gives for the smaller one meet. Of the sets left whole sets travel, and those that share
+    fewer than T tokens with all others together go. What is left is ordered by rarity, and sets that share a
+    token of their n - T + 1 rarest are joined to candidate groups, by spanning edges only. Each group's sets then
+    meet once for the exact search; a group of over ``BLOCK`` sets meets in pairs of blocks.
     """
-    spark = docs.sparkSession
-    total = classes.agg(F.sum(F.col("n"))).first()[0] or 0
-    parts = shuffle_partitions(spark)
+    parts = shuffle_partitions(docs.sparkSession)
 
-    def deal(source: DataFrame, extended: bool, tokens: float, reduce: Callable, schema: str) -> DataFrame:
+    def dealt(source: DataFrame, whole: bool, tokens: float) -> tuple[DataFrame, int]:
         buckets = max(parts, int(tokens / BUCKET_TOKENS))
-        sent = source.mapInArrow(lambda it: _prefixes(it, words, num, den, buckets, extended), "bucket int, cls binary, size binary, run binary, tok binary")
-        return sent.groupBy("bucket").applyInArrow(reduce, schema)
+        return source.mapInArrow(lambda it: _sent(it, words, num, den, buckets, whole), _BUCKET_SQL), buckets
 
     narrow = only(docs, "doc_id", "text")
-    met = deal(narrow, True, 0.3 * total, _shared_counts, "cls long, met long").groupBy("cls").agg(F.sum("met").alias("met"))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    sent, _ = dealt(narrow, False, 0.3 * total)
+    met = sent.groupBy("bucket").applyInArrow(_shared_counts, "cls long, met long").groupBy("cls").agg(F.sum("met").alias("met"))
     smallest = F.floor((F.col("n") * num + den - 1) / den)
     need = F.greatest(F.lit(1), F.floor(smallest * EXTRA))
     alive = checkpoint(classes.join(met, "cls").where(F.col("met") >= need).select("cls", "n", F.col("rep").alias("doc_id")))
     living = narrow.join(sized(alive.select("doc_id")), "doc_id", "left_semi")
     left = alive.agg(F.sum("n")).first()[0] or 0
-    candidates = deal(living, False, (1 - num / den) * left, lambda t: _candidates(t, num, den), "u long, v long")
+    whole, buckets = dealt(living, True, left)
+    weighed = whole.groupBy("bucket").applyInArrow(lambda t: _weighed(t, buckets), _BUCKET_SQL)
+    rare = weighed.groupBy("bucket").applyInArrow(lambda t: _rare_prefixes(t, num, den, buckets), _BUCKET_SQL)
+    candidates = rare.groupBy("bucket").applyInArrow(lambda t: _candidates(t, num, den), "u long, v long")
     groups = connected_components(candidates)
     groups = groups.join(alive, groups.node == alive.cls).select("cls", "n", "doc_id", "component")
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("tokens_in"))
     placed = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("tokens_in") / BLOCK_TOKENS)).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     placed = checkpoint(placed)
-    sets = living.mapInArrow(lambda it: _tokens(it, words), "doc_id long, cls long, tokens binary")
+    near = narrow.join(sized(placed.select("doc_id")), "doc_id", "left_semi")
+    sets = near.mapInArrow(lambda it: _tokens(it, words), "doc_id long, cls long, tokens binary")
     full = sets.join(sized(placed), ["doc_id", "cls"])
     met_blocks = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("i"), F.greatest(b, F.col("block")).alias("j"))))
     pairs = full.select("component", "cls", "block", "tokens", met_blocks.alias("at")).select("component", "cls", "block", "tokens", "at.i", "at.j")
