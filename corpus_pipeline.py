@@ -1,16 +1,76 @@
-"""A corpus pipeline of the training-data operators; counted as part of the llm subpackage."""
+"""A corpus pipeline of the training-data operators; counted as part of the llm subpackage.
+
+Five stages: documents predicted toxic go; of equal texts one stays; of each group linked by five-word shingles at a
+similarity of 0.8 or more one stays; sources are mixed to their target weights; and what is left is packed
+into token sequences. Every stage works on all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliospark.llm import exact_dedup, jaccard, mixing, packing, queries, toxicity
+from foliospark.llm.common import checkpoint, only, sized
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels of the documents that are not held out."""
+    return toxicity.reject_toxic(docs, queries.table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for the case of A-Z, the row with the largest doc_id stays."""
+    groups = exact_dedup.exact_dedup(docs)
+    gone = checkpoint(groups.where(~F.col("kept")).select("doc_id").distinct())
+    return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component at five words and 0.8, the document with the smallest doc_id stays."""
+    groups = jaccard.ngram_jaccard(only(docs, "doc_id", "text"), words=5, num=80, den=100)
+    gone = checkpoint(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to the target weights of their sources, in a global shuffle; copies keep their doc_id."""
+    mixed = mixing.mix(docs, queries.MIX_WEIGHTS, queries.MIX_DEFAULT, queries.MIX_EPOCHS, queries.MIX_SEED)
+    return mixed.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences of 2048 tokens."""
+    return packing.pack_documents(docs, queries.tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_jaccard", drop_near_copies),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: Stages of trained and packed results can't be written in SQL.
+ORACLE_SQL: str | None = None
+
 
-STAGES: list = []
-ORACLE_SQL = None
+def _folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder."""
+    checkpoint(spark.range(1))
+    return f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over ``documents``; each stage's result is written as Parquet to the shared folder and read again."""
+    folder = _folder(spark)
+    docs = queries.table(spark, sf_dir, "documents")
+    for number, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
