@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import only
+
 #: Open and close marks of the known roles; the assistant's turn needs no open mark.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("", "</s>")}
 #: Marks of any other role, which is written in the open mark.
@@ -141,7 +143,7 @@ def format_chats(events: DataFrame) -> DataFrame:
     conversation. The sort spills; a task folds one conversation at a time and holds only that one, whose
     rendering is one row in any case. Extra columns are ignored; an empty table gives no rows.
     """
-    rows = events.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), F.col("op").cast("string").alias("op"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = only(events, "conv_id", "seq", "op", "turn", "role", "text").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), F.col("op").cast("string").alias("op"), F.col("turn").cast("long").alias("turn"), "role", "text")
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "turn", "role", "text", "op")
     return dealt.mapInArrow(_conversations, "conv_id long, formatted string, loss array<struct<start:long,end:long>>")
 

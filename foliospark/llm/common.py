@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 import zlib
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,24 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 400_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once, unless they find it by their path or working folder."""
+    root = Path(__file__).resolve().parents[2]
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context = spark.sparkContext
+    if root in known or Path.cwd() == root or context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    archive = Path(tempfile.mkdtemp(prefix="folio-code-")) / "foliospark.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((root / "foliospark").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    context.addPyFile(str(archive))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage there.
 
@@ -56,4 +77,5 @@ def is_held_out(key: object) -> bool:
 
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns of the input can't clash with derived ones."""
+    ship(df.sparkSession)
     return df.select(*[F.col(f"`{n}`") for n in names])
