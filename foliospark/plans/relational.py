@@ -55,7 +55,7 @@ SELECT doc_id, tool, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS chars, CAST(s
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Block profile and routing cost of each document."""
     rows = _lines(s, d).select("doc_id", "text", F.expr(C.importance(SPARK, "text", "block_type", "page_num")).alias("importance"))
-    routed = rows.select("doc_id", F.length("text").alias("n"), F.expr(_TOOL).alias("tool"))
+    routed = rows.select("doc_id", F.length("text").cast("long").alias("n"), F.expr(_TOOL).alias("tool"))
     return routed.groupBy("doc_id", "tool").agg(F.count("*").alias("blocks"), F.sum("n").alias("chars"), F.sum(F.expr(f"n * {_RATE}")).alias("cost_units"))
 
 
@@ -67,7 +67,7 @@ def _s04(s, d):
 
 @_add("s05_primary_line", f"{_LINES} SELECT doc_id, page_num, arg_max(seq, length(text) * 100000 - seq) AS seq FROM lines GROUP BY doc_id, page_num")
 def _s05(s, d):
-    return _lines(s, d).groupBy("doc_id", "page_num").agg(F.max_by("seq", F.length("text") * 100000 - F.col("seq")).alias("seq"))
+    return _lines(s, d).groupBy("doc_id", "page_num").agg(F.max_by("seq", F.struct(F.length("text"), -F.col("seq"))).alias("seq"))
 
 
 @_add("s08_page_ranges", "SELECT doc_id, b * 5 AS first_page, least(b * 5 + 4, n - 1) AS last_page, b + 1 AS batch FROM (SELECT doc_id, n, unnest(range((n + 4) // 5)) AS b FROM (SELECT doc_id, length(text) // 500 + 1 AS n FROM documents WHERE text IS NOT NULL))")
@@ -582,3 +582,37 @@ def _st_sessions(s, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     gap = F.when(F.expr(_MICROS) - F.lag(F.expr(_MICROS)).over(w) > 3_600_000_000, 1).otherwise(0)
     return T.read(s, d, "events").withColumn("c", gap).select("event_id", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("session"))
+
+
+# --- similarity; no SQL expresses the sequence matcher, so tests compare with a plain loop
+@_add("j15_fuzzy_lookup", "")
+def _j15(s, d):
+    from foliospark.operators.similarity import fuzzy_lookup
+
+    rows = T.read(s, d, "benchmark").select(F.col("item_id").alias("key"), F.lit("en").alias("lang"), "text")
+    return fuzzy_lookup(rows, rows.select(F.col("key").alias("cache_key"), "lang", F.expr("substring(text, 1, length(text) - 8)").alias("text")))
+
+
+@_add("u04_substring_dedup", "")
+def _u04(s, d):
+    from foliospark.operators.similarity import drop_contained
+
+    return drop_contained(_lines(s, d).where("block_type in ('h1','h2','h3')"))
+
+
+@_add("u05_similar_guard", "")
+def _u05(s, d):
+    from foliospark.operators.similarity import drop_similar
+
+    return drop_similar(_lines(s, d).where("block_type in ('h1','h2','h3')"))
+
+
+@_add("j16_vector_top1", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS match_id, list_inner_product(a.v, b.v) AS sim FROM e a JOIN e b ON a.label = b.label AND b.vec_id % 2 = 0 AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 1)
+SELECT vec_id, match_id FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, match_id) AS r FROM p) WHERE r = 1""")
+def _j16(s, d):
+    """Nearest cached vector of the same label; the cache is the even ids, the stated query set every twentieth odd one."""
+    e = T.read(s, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    a, b = e.where("vec_id % 20 = 1"), e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("match_id"), "label", F.col("v").alias("w"))
+    sim = F.round(F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y), 9)
+    near = a.join(b, "label").where("vec_id <> match_id").select("vec_id", "match_id", sim.alias("sim"))
+    return near.groupBy("vec_id").agg(F.max_by("match_id", F.struct("sim", -F.col("match_id"))).alias("match_id"))
