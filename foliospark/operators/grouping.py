@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-_DOC = Window.partitionBy("doc_id").orderBy("seq")
 #: Fixed value: what stands between the items of a group.
 SEPARATOR = 18
 
 
+def _doc() -> WindowSpec:
+    """Rows of a document in order."""
+    return Window.partitionBy("doc_id").orderBy("seq")
+
+
 def _fold(df: DataFrame, step: str, start: str, out: str) -> DataFrame:
     """Run a sequential fold over each document's sorted items; every item gets the state after it.
 
@@ -54,7 +58,7 @@ def two_sided_context(lines: DataFrame) -> DataFrame:
 
 def island(flag: Column) -> Column:
     """Number of flagged rows up to each row of a document."""
-    return F.sum(F.when(flag, 1).otherwise(0)).over(_DOC.rowsBetween(Window.unboundedPreceding, 0))
+    return F.sum(F.when(flag, 1).otherwise(0)).over(_doc().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def paragraph_runs(lines: DataFrame) -> DataFrame:
@@ -66,9 +70,9 @@ def paragraph_runs(lines: DataFrame) -> DataFrame:
 
 def theme_sessions(lines: DataFrame, themes: Column, most: int = 10) -> DataFrame:
     """A new group at each change of theme or after ``most`` items; the first item's theme counts as general."""
-    first = F.row_number().over(_DOC) == 1
+    first = F.row_number().over(_doc()) == 1
     named = lines.withColumn("theme", F.when(first, "general").otherwise(themes))
-    named = named.withColumn("run", F.sum(F.when(F.lag("theme").over(_DOC) != F.col("theme"), 1).otherwise(0)).over(_DOC.rowsBetween(Window.unboundedPreceding, 0)))
+    named = named.withColumn("run", F.sum(F.when(F.lag("theme").over(_doc()) != F.col("theme"), 1).otherwise(0)).over(_doc().rowsBetween(Window.unboundedPreceding, 0)))
     inside = F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("seq")) - 1
     return named.select("doc_id", "seq", "theme", F.col("run").cast("long").alias("run"), F.floor(inside / most).cast("long").alias("part"))
 
@@ -76,7 +80,7 @@ def theme_sessions(lines: DataFrame, themes: Column, most: int = 10) -> DataFram
 def section_bounds(lines: DataFrame) -> DataFrame:
     """Each heading's section ends on the page before the next heading; the last ends with the document."""
     last = lines.groupBy("doc_id").agg(F.max("page_num").alias("pages"))
-    heads = lines.where("block_type in ('h1', 'h2', 'h3')").withColumn("next", F.lead("page_num").over(_DOC))
+    heads = lines.where("block_type in ('h1', 'h2', 'h3')").withColumn("next", F.lead("page_num").over(_doc()))
     return heads.join(last, "doc_id").select("doc_id", "seq", F.col("page_num").alias("start_page"), F.coalesce(F.col("next") - 1, F.col("pages")).alias("end_page"))
 
 
@@ -98,4 +102,4 @@ def fill_pages(lines: DataFrame, known: Column) -> DataFrame:
     rows = lines.withColumn("known", known).withColumn("run", island(F.col("known").isNotNull()))
     part = Window.partitionBy("doc_id", "run").orderBy("seq")
     base = F.first("known").over(part)
-    return rows.select("doc_id", "seq", F.coalesce(base + F.row_number().over(part) - 1, F.row_number().over(_DOC).cast("long")).cast("long").alias("page"))
+    return rows.select("doc_id", "seq", F.coalesce(base + F.row_number().over(part) - 1, F.row_number().over(_doc()).cast("long")).cast("long").alias("page"))
