@@ -69,3 +69,23 @@ def translate_lines(rows: Iterator[pd.DataFrame], translate) -> Iterator[pd.Data
     """Boundary for a real model: apply ``translate(texts) -> texts`` to Arrow batches of a column named text."""
     for batch in rows:
         yield batch.assign(text=translate(batch["text"].tolist()))
+
+
+def containing(texts: DataFrame, parts: DataFrame, part: str, limit: int = 10_000) -> DataFrame:
+    """Rows of ``texts`` (text) with the rows of ``parts`` whose text they hold.
+
+    Short lists of parts (counted) are broadcast. Beyond the limit both sides meet on the part's second to fifth word, whole
+    words that a holding text has among its four-word shingles, so no text meets a part that it can't hold. Parts
+    of under six words have no such words; they are broadcast, and more than ``limit`` of them are refused.
+    """
+    if parts.count() <= limit:
+        return texts.join(F.broadcast(parts), F.contains(F.col("text"), F.col(part)))
+    cut = F.split(part, r"\s+")
+    brief, long = parts.where(F.size(cut) < 6), parts.where(F.size(cut) >= 6)
+    if brief.count() > limit:
+        raise ValueError(f"more than {limit} parts of under six words")
+    words = F.split("text", r"\s+")
+    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 3)), lambda i: F.concat_ws(" ", F.slice(words, i, 4)))
+    near = texts.withColumn("__key", F.explode(F.array_distinct(shingles))).join(long.withColumn("__key", F.concat_ws(" ", F.slice(cut, 2, 4))), "__key")
+    found = near.where(F.contains(F.col("text"), F.col(part))).drop("__key")
+    return found.unionByName(texts.join(F.broadcast(brief), F.contains(F.col("text"), F.col(part))))

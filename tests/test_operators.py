@@ -116,6 +116,14 @@ def test_fuzzy_lookup_equals_a_loop(spark):
     assert got == want
 
 
+def test_containment_beyond_the_broadcast_limit(spark, sf_dir):
+    docs = T.read(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = T.read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("part"))
+    key = lambda f: sorted((r.doc_id, r.item_id) for r in f.distinct().collect())
+    want = key(M.containing(docs, parts, "part"))
+    assert want and key(M.containing(docs, parts, "part", limit=0)) == want
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(max_size=80))
 def test_filename_is_safe(text):
