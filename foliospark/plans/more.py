@@ -379,15 +379,17 @@ def _f35(s, d):
     return packed.select("doc_id", "seq", (F.length(back["block_type"]) + F.length(back["text"])).cast("long").alias("n"))
 
 
-@_add("o04_two_tier_cache", "WITH m AS (SELECT DISTINCT sha256(text) AS k FROM documents WHERE doc_id % 10 = 0), p AS (SELECT DISTINCT sha256(text) AS k FROM documents WHERE doc_id % 2 = 0) SELECT d.doc_id, CASE WHEN m.k IS NOT NULL THEN 'memory' WHEN p.k IS NOT NULL THEN 'persistent' ELSE 'call' END AS tier FROM documents d LEFT JOIN m ON sha256(d.text) = m.k LEFT JOIN p ON sha256(d.text) = p.k")
+@_add("o04_two_tier_cache", "WITH m AS (SELECT source, sha256(text) AS k, min(doc_id) AS i FROM documents GROUP BY ALL), p AS (SELECT sha256(text) AS k, min(doc_id) AS i FROM documents GROUP BY ALL) SELECT d.doc_id, CASE WHEN m.i < d.doc_id THEN 'memory' WHEN p.i < d.doc_id THEN 'persistent' ELSE 'call' END AS tier FROM documents d LEFT JOIN m ON sha256(d.text) = m.k AND d.source = m.source LEFT JOIN p ON sha256(d.text) = p.k")
 def _o04(s, d):
-    rows = _docs(s, d).select("doc_id", F.sha2("text", 256).alias("k"))
-    memory, kept = rows.where("doc_id % 10 = 0").select("k", F.lit(True).alias("m")).distinct(), rows.where("doc_id % 2 = 0").select("k", F.lit(True).alias("p")).distinct()
-    return rows.join(memory, "k", "left").join(kept, "k", "left").select("doc_id", F.when(F.col("m"), "memory").when(F.col("p"), "persistent").otherwise("call").alias("tier"))
+    """A text seen before in its source comes from memory, one seen anywhere before from the persistent cache."""
+    rows = _docs(s, d).select("doc_id", "source", F.sha2("text", 256).alias("k"))
+    memory, kept = rows.groupBy("source", "k").agg(F.min("doc_id").alias("m")), rows.groupBy("k").agg(F.min("doc_id").alias("p"))
+    tier = F.when(F.col("m") < F.col("doc_id"), "memory").when(F.col("p") < F.col("doc_id"), "persistent").otherwise("call")
+    return rows.join(memory, ["source", "k"], "left").join(kept, "k", "left").select("doc_id", tier.alias("tier"))
 
 
-@_add("s22_trace_export", f"{_SPANS} SELECT trace_id, count(*) AS spans, min(span_id) AS first_span FROM spans GROUP BY trace_id")
+@_add("s22_trace_export", f"{_SPANS} SELECT span_id, trace_id, operation FROM spans")
 def _s22(s, d):
-    rows = T.spans(T.read(s, d, "events")).groupBy("trace_id").agg(F.to_json(F.array_sort(F.collect_list("span_id"))).alias("j"))
-    ids = F.from_json("j", "array<bigint>")
-    return rows.select("trace_id", F.size(ids).cast("long").alias("spans"), ids[0].alias("first_span"))
+    """Spans as JSON lines, read back; no trace is gathered in one row."""
+    rows = T.spans(T.read(s, d, "events")).select("span_id", F.to_json(F.struct("trace_id", "operation", "duration_ms")).alias("j"))
+    return rows.select("span_id", F.get_json_object("j", "$.trace_id").cast("long").alias("trace_id"), F.get_json_object("j", "$.operation").alias("operation"))

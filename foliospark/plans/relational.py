@@ -137,10 +137,10 @@ def _p30(s, d):
 
 
 # --- joins
-@_add("j01_reattach_composite", f"{_LINES}, t AS (SELECT doc_id, seq, max('[xx] ' || text) AS tr FROM lines WHERE seq % 3 = 0 GROUP BY doc_id, seq) SELECT l.doc_id, l.seq, coalesce(t.tr, l.text) AS text FROM lines l LEFT JOIN t ON l.doc_id = t.doc_id AND l.seq = t.seq")
+@_add("j01_reattach_composite", f"{_LINES}, t AS (SELECT doc_id, seq, max('[xx] ' || text) AS tr FROM lines WHERE block_type = 'paragraph' GROUP BY doc_id, seq) SELECT l.doc_id, l.seq, coalesce(t.tr, l.text) AS text FROM lines l LEFT JOIN t ON l.doc_id = t.doc_id AND l.seq = t.seq")
 def _j01(s, d):
     rows = _lines(s, d)
-    done = rows.where("seq % 3 = 0").groupBy("doc_id", "seq").agg(F.max(F.concat(F.lit("[xx] "), "text")).alias("tr"))
+    done = rows.where("block_type = 'paragraph'").groupBy("doc_id", "seq").agg(F.max(F.concat(F.lit("[xx] "), "text")).alias("tr"))
     return rows.join(done, ["doc_id", "seq"], "left").select("doc_id", "seq", F.coalesce("tr", "text").alias("text"))
 
 
@@ -213,19 +213,19 @@ def _j12(s, d):
     return L.outside_visuals(_boxes(s, d))
 
 
-_CACHE = "cache AS (SELECT sha256(text) AS k, min(doc_id) AS hit_id FROM documents WHERE doc_id % 2 = 0 GROUP BY 1)"
+_CACHE = "cache AS (SELECT sha256(text) AS k, min(doc_id) AS first_id FROM documents GROUP BY 1)"
 
 
-@_add("j13_exact_cache", f"WITH {_CACHE} SELECT d.doc_id, c.hit_id, c.hit_id IS NOT NULL AS hit FROM documents d LEFT JOIN cache c ON sha256(d.text) = c.k")
+@_add("j13_exact_cache", f"WITH {_CACHE} SELECT d.doc_id, c.first_id, coalesce(c.first_id < d.doc_id, false) AS hit FROM documents d LEFT JOIN cache c ON sha256(d.text) = c.k")
 def _j13(s, d):
     rows = _docs(s, d).select("doc_id", F.sha2("text", 256).alias("k"))
-    return rows.join(rows.where("doc_id % 2 = 0").groupBy("k").agg(F.min("doc_id").alias("hit_id")), "k", "left").select("doc_id", "hit_id", F.col("hit_id").isNotNull().alias("hit"))
+    return rows.join(rows.groupBy("k").agg(F.min("doc_id").alias("first_id")), "k", "left").select("doc_id", "first_id", F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(False)).alias("hit"))
 
 
-@_add("j14_normalised_cache", f"WITH n AS (SELECT doc_id, lang, {S.similarity_key(CHECK, 'text')} AS k FROM documents), c AS (SELECT k, lang, min(doc_id) AS hit_id FROM n WHERE doc_id % 2 = 0 GROUP BY ALL) SELECT n.doc_id, c.hit_id FROM n LEFT JOIN c ON n.k = c.k AND n.lang = c.lang")
+@_add("j14_normalised_cache", f"WITH n AS (SELECT doc_id, lang, {S.similarity_key(CHECK, 'text')} AS k FROM documents), c AS (SELECT k, lang, min(doc_id) AS first_id FROM n GROUP BY ALL) SELECT n.doc_id, c.first_id FROM n LEFT JOIN c ON n.k = c.k AND n.lang = c.lang")
 def _j14(s, d):
     rows = _docs(s, d).select("doc_id", "lang", F.expr(S.similarity_key(SPARK, "text")).alias("k"))
-    return rows.join(rows.where("doc_id % 2 = 0").groupBy("k", "lang").agg(F.min("doc_id").alias("hit_id")), ["k", "lang"], "left").select("doc_id", "hit_id")
+    return rows.join(rows.groupBy("k", "lang").agg(F.min("doc_id").alias("first_id")), ["k", "lang"], "left").select("doc_id", "first_id")
 
 
 @_add("j17_images_with_boxes", f"{_BOXES} SELECT i.doc_id, count(b.seq) AS boxes FROM (SELECT DISTINCT doc_id FROM boxes) i LEFT JOIN boxes b ON i.doc_id = b.doc_id AND b.label = 'figure' AND b.confidence > 0.9 GROUP BY i.doc_id")
@@ -341,11 +341,12 @@ def _a13(s, d):
     return _lines(s, d).groupBy("block_type").agg(F.count("*").alias("chunks"), F.avg(n).alias("mean"), F.min(n).alias("least"), F.max(n).alias("most"))
 
 
-@_add("a14_cache_statistics", f"WITH {_CACHE} SELECT lang, count(*) AS lookups, count(c.k) AS hits, count(c.k) / count(*) AS hit_rate FROM documents d LEFT JOIN cache c ON sha256(d.text) = c.k GROUP BY lang")
+@_add("a14_cache_statistics", f"WITH {_CACHE} SELECT lang, count(*) AS lookups, count_if(c.first_id < d.doc_id) AS hits, count_if(c.first_id < d.doc_id) / count(*) AS hit_rate FROM documents d LEFT JOIN cache c ON sha256(d.text) = c.k GROUP BY lang")
 def _a14(s, d):
     rows = _docs(s, d).select("doc_id", "lang", F.sha2("text", 256).alias("k"))
-    joined = rows.join(rows.where("doc_id % 2 = 0").select("k", F.lit(1).alias("hit")).distinct(), "k", "left")
-    return joined.groupBy("lang").agg(F.count("*").alias("lookups"), F.count("hit").alias("hits"), (F.count("hit") / F.count("*")).alias("hit_rate"))
+    joined = rows.join(rows.groupBy("k").agg(F.min("doc_id").alias("first_id")), "k", "left")
+    hits = F.count_if(F.col("first_id") < F.col("doc_id"))
+    return joined.groupBy("lang").agg(F.count("*").alias("lookups"), hits.alias("hits"), (hits / F.count("*")).alias("hit_rate"))
 
 
 @_add("a15_class_distribution", f"WITH k(label) AS (VALUES ('figure'), ('table'), ('text'), ('title'), ('equation')), {T.BOXES_SQL} SELECT k.label, count(b.seq) AS n, count(b.seq) / (SELECT count(DISTINCT page) FROM boxes) AS per_page FROM k LEFT JOIN boxes b USING (label) GROUP BY k.label")
@@ -607,12 +608,12 @@ def _u05(s, d):
     return drop_similar(_lines(s, d).where("block_type in ('h1','h2','h3')"))
 
 
-@_add("j16_vector_top1", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS match_id, list_inner_product(a.v, b.v) AS sim FROM e a JOIN e b ON a.label = b.label AND b.vec_id % 2 = 0 AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 1)
+@_add("j16_vector_top1", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS match_id, list_inner_product(a.v, b.v) AS sim FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
 SELECT vec_id, match_id FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, match_id) AS r FROM p) WHERE r = 1""")
 def _j16(s, d):
-    """Nearest cached vector of the same label; the cache is the even ids, the stated query set every twentieth odd one."""
+    """Nearest other vector of the same label for the stated query set, every vec_id divisible by 20."""
     e = T.read(s, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    a, b = e.where("vec_id % 20 = 1"), e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("match_id"), "label", F.col("v").alias("w"))
+    a, b = e.where("vec_id % 20 = 0"), e.select(F.col("vec_id").alias("match_id"), "label", F.col("v").alias("w"))
     sim = F.round(F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y), 9)
     near = a.join(b, "label").where("vec_id <> match_id").select("vec_id", "match_id", sim.alias("sim"))
     return near.groupBy("vec_id").agg(F.max_by("match_id", F.struct("sim", -F.col("match_id"))).alias("match_id"))
