@@ -23,16 +23,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for the case of A-Z, the row with the largest doc_id stays."""
+    """Of texts equal but for the case of A-Z, the row with the largest doc_id stays.
+
+    Rows that share a doc_id stay together if one of them stays; rows without one stay.
+    """
     groups = exact_dedup.exact_dedup(docs)
-    gone = checkpoint(groups.where(~F.col("kept")).select("doc_id").distinct())
+    gone = checkpoint(groups.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select("doc_id"))
     return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component at five words and 0.8, the document with the smallest doc_id stays."""
+    """Of each component at five words and 0.8, the document with the smallest doc_id stays.
+
+    Rows that share a doc_id stay together if one of them stays; rows without one stay.
+    """
     groups = jaccard.ngram_jaccard(only(docs, "doc_id", "text"), words=5, num=80, den=100)
-    gone = checkpoint(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    gone = checkpoint(groups.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept")).where(~F.col("kept")).select("doc_id"))
     return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
 
 

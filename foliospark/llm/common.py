@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 import zlib
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,18 @@ BROADCAST_ROWS = 400_000
 
 
 _shipped: set[str] = set()
+_remembered: dict[tuple, object] = {}
+
+#: Bytes of an Arrow batch, so that texts of any length take bounded memory on both sides.
+BATCH_BYTES, ARROW_BYTES = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def remember(key: tuple, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task: one thing at a time, so stages don't add up their caches."""
+    if key not in _remembered:
+        _remembered.clear()
+        _remembered[key] = make()
+    return _remembered[key]
 
 
 def ship(spark: SparkSession) -> None:
@@ -76,6 +89,11 @@ def is_held_out(key: object) -> bool:
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, so that extra columns of the input can't clash with derived ones."""
+    """The named columns alone, so that extra columns of the input can't clash with derived ones.
+
+    Every operator starts here, so it also sees to the workers' code and the size of Arrow batches.
+    """
     ship(df.sparkSession)
+    if int(df.sparkSession.conf.get(ARROW_BYTES, str(64 << 20)).rstrip("b")) > BATCH_BYTES:
+        df.sparkSession.conf.set(ARROW_BYTES, str(BATCH_BYTES))
     return df.select(*[F.col(f"`{n}`") for n in names])

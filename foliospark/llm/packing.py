@@ -6,17 +6,16 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import checkpoint, only
+from foliospark.llm.common import checkpoint, only, remember
 
 #: Distinct words whose ids one worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 #: Two spaces of any kind side by side; a single space between two other characters.
 DOUBLE, SINGLE = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 #: Items one packing task takes.
@@ -51,7 +50,7 @@ class WordCache:
             made = self.parts.get(part)
             if made is None:
                 made = np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
-                if len(self.parts) < self.most and len(part) <= 40:
+                if len(self.parts) < self.most * 0.6 and len(part) <= 40:
                     self.parts[part] = made
             out.append(made)
         return b"".join(out)
@@ -73,10 +72,9 @@ class WordCache:
         return b"".join(made)
 
 
-@lru_cache(maxsize=2)
 def word_cache(path: str) -> WordCache:
-    """One cache for each tokenizer and worker process, kept from task to task."""
-    return WordCache(path)
+    """The tokenizer's cache of this worker process, kept from task to task."""
+    return remember(("words", path), lambda: WordCache(path))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int) -> Iterator[pa.RecordBatch]:

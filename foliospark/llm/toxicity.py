@@ -7,7 +7,6 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import held_out, only
+from foliospark.llm.common import held_out, only, remember
 
 #: Bounds of the training sample: documents of each label, and characters of a document that may be sampled.
 TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_CHARS = 2_500, 5_000, 20_000
@@ -28,7 +27,7 @@ LONG_RATIO, LONG_SHARE = 20.0, 0.03
 #: Largest share of ordinary calibration texts that the threshold may call toxic.
 FALSE_ALARMS = 0.005
 #: Bytes of a window's text (a longer word gives several) and words whose result a worker remembers.
-WINDOW, CACHE_WORDS = 64, 700_000
+WINDOW, CACHE_WORDS = 64, 400_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -213,14 +212,15 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel | None:
     """Fit on a bounded sample of labelled rows that aren't held out, smallest hash of doc_id first.
 
     At most ``TOXIC_DOCS`` and ``ORDINARY_DOCS`` ids are drawn, and of those the texts of at most ``SAMPLE_CHARS``
-    characters are gathered, whole. A doc_id with several labels is toxic if one of them is.
+    characters are gathered, whole. A doc_id with several labels is toxic if one of them is; of several texts the first in order counts.
     """
     known = only(labels, "doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for label, most in ((1, TOXIC_DOCS), (0, ORDINARY_DOCS))]
     ids = drawn[0].union(drawn[1])
     rows = only(docs, "doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id")
-    texts = sorted({(r.doc_id, r.toxic, r.text) for r in rows.select("doc_id", "toxic", "text").collect()})
+    once = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    texts = sorted((r.doc_id, r.toxic, r.text) for r in once.collect())
     mix = sorted(texts, key=lambda r: hash_order(r[0]))
     return fit([t for _, x, t in mix if x == 1], [t for _, x, t in mix if x == 0])
 
@@ -230,10 +230,9 @@ def hash_order(key: int) -> int:
     return (int(key) * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % (1 << 61)
 
 
-@lru_cache(maxsize=2)
 def window_gain(model: ToxicModel) -> WindowGain:
-    """One pair of compressors with its memory for each model and worker process."""
-    return WindowGain(model)
+    """The model's compressors of this worker process with what they remember, kept from task to task."""
+    return remember(("gain", model), lambda: WindowGain(model))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: ToxicModel | None) -> Iterator[pa.RecordBatch]:
