@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import heapq
 import math
+import random
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,16 +17,18 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import held_out, only, remember
 
-#: Bounds of the training sample: documents of each label, and characters of a document that may be sampled.
-TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_CHARS = 2_500, 5_000, 20_000
+#: Bounds of the training sample: documents of each label, of any length.
+TOXIC_DOCS, ORDINARY_DOCS = 2_500, 5_000
 #: Bytes of the dictionaries' parts, and of the substrings that tell toxic words.
 TOXIC_BYTES, COMMON_BYTES, GRAMS = 8_192, 3_072, (5, 7, 8, 9)
 #: A substring of the shortest length is toxic if it is this many times as frequent in toxic texts, in so many of them.
 RATIO, LEAST = 20.0, 5
 #: A longer one, which ordinary syllables may form by chance, must be in a share of the toxic texts too.
 LONG_RATIO, LONG_SHARE = 20.0, 0.03
-#: Largest share of ordinary calibration texts that the threshold may call toxic.
+#: Largest share of ordinary calibration texts of each length that the threshold may call toxic.
 FALSE_ALARMS = 0.005
+#: Largest length class that is filled up with joined texts; thresholds of longer ones go on with the mean rise of a class.
+JOINED_CLASS = 16
 #: Bytes of a window's text (a longer word gives several) and words whose result a worker remembers.
 WINDOW, CACHE_WORDS = 64, 400_000
 
@@ -35,6 +38,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
+def length_class(number: int) -> int:
+    """Class of a text by its number of distinct words; each spans a doubling."""
+    return number.bit_length()
+
+
 def _framed(word: bytes) -> bytes:
     return b" " + word.strip(b".,;:!?\"'()") + b" "
 
@@ -51,13 +59,22 @@ def _parts(framed: bytes) -> set[bytes]:
 class ToxicModel:
     """Raw contents of both dictionaries, the text that closes each window, and the calibrated weights.
 
-    The last weight is the threshold on the weighted sum of a text's gains.
+    ``limits`` are the thresholds on the weighted sum of a text's gains, from length class ``first`` on; beyond
+    the last one they rise by ``rise`` a class.
     """
 
     toxic: bytes
     ordinary: bytes
     carrier: bytes
     weights: tuple[float, ...] = ()
+    limits: tuple[float, ...] = ()
+    first: int = 0
+    rise: float = 0.0
+
+    def limit(self, number: int) -> float:
+        """The threshold of a text of so many distinct words."""
+        at = length_class(number) - self.first
+        return self.limits[max(0, min(at, len(self.limits) - 1))] + self.rise * max(0, at - len(self.limits) + 1)
 
 
 class WindowGain:
@@ -90,15 +107,16 @@ class WindowGain:
                 self.known[word] = gain
         return gain
 
-    def features(self, text: str | None) -> list[float]:
+    def features(self, words: set[bytes]) -> list[float]:
         """The three largest gains of a text's distinct words, and how many gain two bytes or more."""
-        gains = sorted((max(g, 0) for g in map(self.of, set(words_of(text)))), reverse=True)
+        gains = sorted((max(g, 0) for g in map(self.of, words)), reverse=True)
         number = sum(g >= 2 for g in gains)
         return [*gains[:3], *[0] * (3 - len(gains[:3])), math.log1p(number), 10 * number / (10 + len(gains))]
 
-    def score(self, text: str | None, weights: tuple[float, ...]) -> float:
-        """From 0 to 1; at least 0.5 if the weighted gains reach the threshold."""
-        over = sum(w * f for w, f in zip(weights, self.features(text), strict=False)) - weights[-1]
+    def score(self, text: str | None, model: ToxicModel) -> float:
+        """From 0 to 1; at least 0.5 if the weighted gains reach the threshold of the text's length."""
+        words = set(words_of(text))
+        over = sum(w * f for w, f in zip(model.weights, self.features(words), strict=True)) - model.limit(len(words))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, over))))
 
 
@@ -181,8 +199,47 @@ def _toxic_segments(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     return picked
 
 
+def _joined(texts: list[set[bytes]], kind: int, number: int) -> list[set[bytes]]:
+    """Up to ``number`` unions of texts that fall into length class ``kind``, which itself has too few texts."""
+    rng, out = random.Random(kind), []
+    short = [t for t in texts if length_class(len(t)) < kind]
+    if sum(map(len, short)) < 1 << (kind - 1):
+        return out
+    for _ in range(2 * number):
+        target, words = rng.uniform(1 << (kind - 1), 0.9 * (1 << kind)), set()
+        for text in rng.sample(short, len(short)):
+            if len(words) >= target:
+                break
+            words |= text
+        if length_class(len(words)) == kind:
+            out.append(words)
+        if len(out) == number:
+            break
+    return out
+
+
+def _limits(texts: list[set[bytes]], line: Callable[[set[bytes]], float], least: float) -> tuple[tuple[float, ...], int, float]:
+    """Thresholds that hold the bound on false alarms in each length class, the first class, and the mean rise beyond.
+
+    A class of fewer texts than the bound can be told from is filled up with unions of shorter ordinary texts, which
+    meet as many chance gains as an ordinary text of that length; where that isn't possible the limit of all texts counts too.
+    """
+    bound = lambda values: sorted(values)[-1 - int(FALSE_ALARMS * len(values))] + 1e-6
+    of_class: dict[int, list[float]] = {}
+    for text in texts:
+        of_class.setdefault(length_class(len(text)), []).append(line(text))
+    every, need = max(least, bound([v for mine in of_class.values() for v in mine])), math.ceil(1 / FALSE_ALARMS)
+    low, high, limits = min(of_class), max(of_class), []
+    for kind in range(low, max(low, min(high, JOINED_CLASS)) + 1):
+        mine = of_class.get(kind, [])
+        if len(mine) < need:
+            mine = mine + [line(words) for words in _joined(texts, kind, need - len(mine))]
+        limits.append(max(bound(mine), least) if len(mine) >= need else max([every, *mine]))
+    return tuple(limits), low, max(0.0, (limits[-1] - limits[0]) / max(1, len(limits) - 1))
+
+
 def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel | None:
-    """Train both dictionaries on two thirds of the texts and calibrate the threshold on the rest.
+    """Train both dictionaries on two thirds of the texts and calibrate the thresholds, by length class, on the rest.
 
     The ordinary dictionary is trained on ordinary text. The toxic one holds the same, so that both treat ordinary
     words alike, and what toxic texts repeat and ordinary ones don't. None if there is nothing to learn from.
@@ -199,28 +256,34 @@ def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel | None:
         common = b"".join(samples)[-COMMON_BYTES:]
     draft = ToxicModel(common + b"".join(reversed(segments)), common, common[-32:])
     gain = WindowGain(draft)
-    bad, good = ([gain.features(t) for t in rest(texts)] for texts in (toxic, ordinary))
+    bad, good = ([set(words_of(t)) for t in rest(texts)] for texts in (toxic, ordinary))
     y = np.r_[np.ones(len(bad)), np.zeros(len(good))]
-    x = np.array(bad + good, float)
-    w = _logistic(x, y)
-    line = np.sort((x @ w[:-1])[y == 0])
-    allowed = float(line[-1 - int(FALSE_ALARMS * len(line))]) + 1e-6
-    return ToxicModel(draft.toxic, common, draft.carrier, (*map(float, w[:-1]), max(allowed, -float(w[-1]))))
+    w = _logistic(np.array([gain.features(t) for t in bad + good], float), y)
+    weights = tuple(map(float, w[:-1]))
+    limits = _limits(good, lambda words: sum(a * b for a, b in zip(weights, gain.features(words), strict=True)), -float(w[-1]))
+    return ToxicModel(draft.toxic, common, draft.carrier, weights, *limits)
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [b" ".join(dict.fromkeys(words_of(t.as_py()))).decode("utf-8", "surrogatepass") for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "toxic", "text"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicModel | None:
     """Fit on a bounded sample of labelled rows that aren't held out, smallest hash of doc_id first.
 
-    At most ``TOXIC_DOCS`` and ``ORDINARY_DOCS`` ids are drawn, and of those the texts of at most ``SAMPLE_CHARS``
-    characters are gathered, whole. A doc_id with several labels is toxic if one of them is; of several texts the first in order counts.
+    At most ``TOXIC_DOCS`` and ``ORDINARY_DOCS`` ids are drawn, of documents of any length, and the distinct words of
+    their whole texts are gathered in order. A doc_id with several labels is toxic if one of them is; of several texts the first in order counts.
     """
     known = only(labels, "doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for label, most in ((1, TOXIC_DOCS), (0, ORDINARY_DOCS))]
     ids = drawn[0].union(drawn[1])
-    rows = only(docs, "doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id")
+    rows = only(docs, "doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
     once = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
-    texts = sorted((r.doc_id, r.toxic, r.text) for r in once.collect())
+    words = once.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(_distinct, "doc_id long, toxic int, text string")
+    texts = sorted((r.doc_id, r.toxic, r.text) for r in words.collect())
     mix = sorted(texts, key=lambda r: hash_order(r[0]))
     return fit([t for _, x, t in mix if x == 1], [t for _, x, t in mix if x == 0])
 
@@ -243,7 +306,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: ToxicModel | None) -> Itera
             if gain is None:
                 scores.append(0.0)
                 continue
-            scores.append(gain.score(text.as_py(), model.weights))
+            scores.append(gain.score(text.as_py(), model))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
 
@@ -251,7 +314,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: ToxicModel | None
     """One row per document: doc_id, held_out, score, predicted.
 
     Each word of the whole text is a window; a text is toxic if what the toxic dictionary saves on its windows
-    reaches the calibrated threshold. Null, empty and blank texts score near 0, and all texts score 0
+    reaches the threshold calibrated for texts of its length. Null, empty and blank texts score near 0, and all texts score 0
     if there are no labels to learn from. A null doc_id is not held out. Extra columns are ignored; an empty table gives no rows.
     """
     model = model or train(docs, labels)
@@ -271,7 +334,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             if gain is None:
                 yield batch
                 continue
-            clean = [gain.score(t.as_py(), model.weights) < 0.5 for t in batch.column(at)]
+            clean = [gain.score(t.as_py(), model) < 0.5 for t in batch.column(at)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(keep, schema)

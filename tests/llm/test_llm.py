@@ -106,6 +106,33 @@ def test_toxicity_finds_held_out_insults(spark, edge, empty):
     assert {r.score for r in toxicity.score_toxicity(edge, marks.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_and_bounds_long_texts(spark):
+    rng = random.Random(3)
+    stems = ["an", "the", "or", "re", "tion", "ing", "ed", "mo", "ka", "li"]
+    rows, labels = [], []
+    for i in range(240):
+        words, bad = ["".join(rng.choice(stems) for _ in range(rng.randint(1, 4))) for _ in range(4500)], int(i % 3 == 0)
+        if bad:
+            words[rng.randrange(4500)] = rng.choice(["gloobernak", "snarfelwit", "drumbelkopf"])
+        rows.append((i, " ".join(words), "en", "a"))
+        labels.append((i, bad))
+    assert min(len(t) for _, t, *_ in rows) > 20_000
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [(got[i].predicted, bad) for i, bad in labels if got[i].held_out]
+    assert sum(p == b for p, b in held) / len(held) > 0.9
+
+
+def test_toxicity_limits_hold_in_each_length_class():
+    rng = random.Random(4)
+    texts = [{b"%d" % rng.randrange(50_000) for _ in range(rng.choice([20, 20, 20, 20, 100, 3000]) if i % 40 else 3000)} for i in range(900)]
+    line = lambda words: sum(w.endswith(b"777") for w in words)
+    model = toxicity.ToxicModel(b"", b"", b"", (), *toxicity._limits(texts, line, 0.5))
+    fresh = [{b"%d" % rng.randrange(50_000) for _ in range(n)} for n in [20] * 400 + [100] * 400 + [3000] * 400]
+    for n in range(3):
+        assert sum(line(t) >= model.limit(len(t)) for t in fresh[400 * n : 400 * n + 400]) <= 12
+    assert model.limit(3000) > model.limit(20) and model.limit(10**6) > model.limit(3000)
+
+
 # --- 3 personal data
 def base_by_regex(text):
     found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
