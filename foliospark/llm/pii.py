@@ -25,9 +25,12 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: Candidates beyond the base: written-out addresses, and groups of digits without a plus sign.
+#: Candidates beyond the base: written-out addresses, groups of digits without a plus sign, longer digit strings in any
+#: grouping, and four numbers with written-out or bracketed dots.
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{1,63}){1,4}")
 _DIGITS = re.compile(r"(?<![\w+.@-])\(?[0-9]{1,4}\)?(?:[ .()/-]{1,2}[0-9]{2,5}){1,6}(?![\w@])")
+_GROUPED = re.compile(r"(?<![\w+.@-])[0-9](?:[ ./-]?[0-9]){12,18}(?![\w@])")
+_OCTETS = re.compile(r"(?<![\w.])[0-9]{1,3}(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\(\.\)|\[\.\]|\{\.\}| dot ) ?[0-9]{1,3}){3}(?!\w)")
 
 
 def luhn(digits: str) -> bool:
@@ -88,10 +91,13 @@ def candidates(text: str) -> list[Span]:
             out.append(("phone", *m.span()))
         if 13 <= n <= 19:
             out.append(("card", *m.span()))
+    known = set(out)
+    out += [c for m in _GROUPED.finditer(text) if (c := ("card", *m.span())) not in known]
+    out += [("ip", *m.span()) for m in _OCTETS.finditer(text)]
     return out
 
 
-_CUES = {"phone": ("phone", "tel", "call", "fax", "mobile", "cell", "whatsapp", "dial"), "email": ("mail", "contact", "write", "reach"), "card": ("card", "visa", "payment", "credit", "iban", "account")}
+_CUES = {"phone": ("phone", "tel", "call", "fax", "mobile", "cell", "whatsapp", "dial"), "email": ("mail", "contact", "write", "reach"), "card": ("card", "visa", "payment", "credit", "iban", "account"), "ip": ("ip", "host", "server", "address", "ping")}
 _FALSE = ("order", "invoice", "isbn", "version", "page", "section", "token", "id", "no.", "$", "date", "from", "to", "between")
 
 
@@ -106,7 +112,7 @@ def features(text: str, span: Span) -> list[float]:
         float(bool(digits) and luhn(digits)), float(body.count("(") + body.count("[") + body.count("{")), float(body.count("-")), float(body.count(".")), float(body.count(" ")), float(body.count("/")),
         float(any(c in before for c in _CUES.get(kind, ()))), float(any(c in before[-16:] for c in _FALSE)), float(bool(re.search(r"(?:\(at\)|\[at\]|\{at\})", body))),
         float(bool(re.search(r"(?:\(dot\)|\[dot\]|\{dot\}| dot )", body))), float(before.endswith((": ", ":", "= ", "="))), float(after[:1] in ("%", "$", "€")), float(bool(re.fullmatch(r"(?:19|20)[0-9]{2}[-./][0-9]{2}[-./][0-9]{2}", body))),
-        float(len(set(digits))),
+        float(len(set(digits))), float(digits[0]) if digits else -1.0, float(max(map(int, groups), default=0) <= 255),
     ]
 
 
@@ -167,25 +173,46 @@ class BoostedTrees:
 def _examples(seed: int, number: int) -> tuple[np.ndarray, np.ndarray]:
     """Generated candidates with labels: personal data in common spellings, and what only looks like it."""
     rng = random.Random(seed)
+    groups = lambda text, sizes, sep: sep.join(text[sum(sizes[:i]) : sum(sizes[: i + 1])] for i in range(len(sizes)))
+    shapes = {13: ((4, 3, 3, 3), (13,)), 15: ((4, 6, 5),), 16: ((4, 4, 4, 4), (16,)), 19: ((4, 4, 4, 4, 3),)}
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     word = lambda: "".join(rng.choice("abcdefghinorstuw") for _ in range(rng.randint(3, 8)))
     lead = lambda cues: rng.choice([f"{word()} {word()} ", *[f"{word()} {c}: " for c in cues], *[f"{word()} {c} " for c in cues]])
     x, y = [], []
 
-    def add(head: str, body: str, label: int) -> None:
+    def add(head: str, body: str, kind: str | None) -> None:
         text = f"{head}{body} {word()} {word()}"
         for span in candidates(text):
             if span[2] > len(head) and span[1] < len(head) + len(body):
                 x.append(features(text, span))
-                y.append(label)
+                y.append(int(span[0] == kind))
+
+    def card(first: str, valid: bool) -> str:
+        number = rng.choice(sorted(shapes))
+        start = rng.choice(first) + digits(number - 2)
+        check = next(d for d in "0123456789" if luhn(start + d))
+        body = start + (check if valid else rng.choice([d for d in "0123456789" if d != check]))
+        return groups(body, rng.choice(shapes[number]), rng.choice("./- "))
+
+    def octets(most: int) -> str:
+        numbers = [str(rng.randint(0, most)) for _ in range(4)]
+        if most > 255:
+            numbers[rng.randrange(4)] = str(rng.randint(256, most))
+        return rng.choice(["(dot)", "[dot]", "{dot}", " dot ", " (dot) ", " [dot] ", "[.]", "(.)", "{.}"]).join(numbers)
 
     for _ in range(number):
         at, dot = rng.choice([("(at)", "(dot)"), ("[at]", "[dot]"), ("{at}", "{dot}"), (" (at) ", " (dot) "), (" at ", " dot ")])
-        add(lead(_CUES["email"]), f"{word()}.{word()}{at}{word()}{dot}{rng.choice(['com', 'org', 'net'])}", 1)
-        add(lead(()), f"{word()} at {word()}.", 0)
-        add(f"{word()} ", f"{word()} at {word()}. {word().title()}", 0)
-        add(lead(_CUES["phone"]) if rng.random() < 0.8 else f"{word()}, ", rng.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(2)} {digits(4)} {digits(4)}"]), 1)
-        add(lead(_FALSE[:9]), rng.choice([f"{digits(4)} {digits(4)}", f"{digits(5)}-{digits(5)}", f"20{digits(2)}-{digits(2)}-{digits(2)} {digits(2)}", f"{digits(3)}.{digits(3)}.{digits(3)}", f"{digits(4)}-{digits(4)}-{digits(4)}-{digits(4)}-{digits(3)}"]), 0)
+        add(lead(_CUES["email"]), f"{word()}.{word()}{at}{word()}{dot}{rng.choice(['com', 'org', 'net'])}", "email")
+        add(lead(()), f"{word()} at {word()}.", None)
+        add(f"{word()} ", f"{word()} at {word()}. {word().title()}", None)
+        add(lead(_CUES["phone"]) if rng.random() < 0.8 else f"{word()}, ", rng.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(2)} {digits(4)} {digits(4)}"]), "phone")
+        add(lead(_FALSE[:9]), rng.choice([f"{digits(4)} {digits(4)}", f"{digits(5)}-{digits(5)}", f"20{digits(2)}-{digits(2)}-{digits(2)} {digits(2)}", f"{digits(3)}.{digits(3)}.{digits(3)}", f"{digits(4)}-{digits(4)}-{digits(4)}-{digits(4)}-{digits(3)}"]), None)
+        add(lead(_CUES["card"] if rng.random() < 0.5 else ()), card("3456", True), "card")
+        add(lead(_CUES["card"]), card("0123456789", False), None)
+        add(lead(_FALSE[:9]), card("0123456789", rng.random() < 0.5), None)
+        add(lead(()), rng.choice([f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"1{digits(12)}"]), None)
+        add(lead(_CUES["ip"] if rng.random() < 0.5 else ()), octets(255), "ip")
+        add(lead(_CUES["ip"]), octets(999), None)
     return np.array(x), np.array(y, float)
 
 

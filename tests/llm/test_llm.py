@@ -170,6 +170,20 @@ def test_boosted_trees_choose_and_redact():
     assert pii.base_spans("9" * 50_000 + ".1") == []
 
 
+def test_boosted_trees_choose_cards_and_addresses():
+    model, limits = pii.chooser()
+    assert set(limits) == set(pii.KINDS) and all(cut < 1 for cut in limits.values())
+    find = lambda t: [(k, t[a:b]) for k, a, b in pii.find_spans(t, model, limits)[1]]
+    for body in ("4111.1111.1111.1111", "4111/1111/1111/1111", "4222222222222", "4222 222 222 222", "3782/822463/10005"):
+        assert find(f"please charge card: {body} this week") == [("card", body)]
+        assert find(f"we then wrote {body} on it") == [("card", body)]
+        assert [k for k, _ in find(f"please charge card: {body[:-1]}{(int(body[-1]) + 1) % 10} this week")] == []
+    for body in ("192 dot 168 dot 10 dot 44", "10[.]0[.]20[.]3", "192(dot)168(dot)1(dot)77"):
+        assert find(f"the server {body} went down") == [("ip", body)]
+    assert find("the server 192 dot 768 dot 10 dot 44 went down") == []
+    assert pii.base_spans("card 4111.1111.1111.1111 host 10[.]0[.]20[.]3") == []
+
+
 # --- 4 language
 def test_language_held_out_accuracy(spark, sf_dir, edge, empty):
     docs = queries.table(spark, sf_dir, "documents")
