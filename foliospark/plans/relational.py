@@ -543,6 +543,13 @@ def _u01(s, d):
     return c.where("conv_id = 0").select("turn", "text").union(c.where("conv_id = 1").join(F.broadcast(n)).select(F.expr("turn + n"), "text"))
 
 
+@_add("u01_merge_pairs", "WITH n AS (SELECT conv_id // 2 AS pair, max(turn) + 1 AS n FROM conversations WHERE conv_id % 2 = 0 GROUP BY ALL) SELECT conv_id // 2 AS pair, turn + CASE WHEN conv_id % 2 = 0 THEN 0 ELSE coalesce(n, 0) END AS turn, text FROM conversations LEFT JOIN n ON conv_id // 2 = pair")
+def _u01_pairs(s, d):
+    c = T.read(s, d, "conversations").select(F.expr("shiftright(conv_id, 1)").alias("pair"), F.expr("conv_id & 1").alias("second"), "turn", "text")
+    n = c.where("second = 0").groupBy("pair").agg((F.max("turn") + 1).alias("n"))
+    return c.join(n, "pair", "left").select("pair", F.expr("turn + if(second = 1, coalesce(n, 0), 0)").alias("turn"), "text")
+
+
 @_add("u02_title_dedup", f"{_LINES}, r AS (SELECT doc_id, seq, lower(trim(text)) AS k, row_number() OVER (PARTITION BY doc_id, lower(trim(text)) ORDER BY seq) AS r FROM lines WHERE length(trim(text)) > 3) SELECT doc_id, seq FROM r WHERE r = 1")
 def _u02(s, d):
     return _lines(s, d).where("length(trim(text)) > 3").groupBy("doc_id", F.lower(F.trim("text")).alias("k")).agg(F.min("seq").alias("seq")).select("doc_id", "seq")
