@@ -31,6 +31,7 @@ class WordCache:
 
     The pre-tokenizer never joins what stands before and after a single space between two non-space
     characters, so a text may be cut at such spaces, and each word after one is encoded with its space.
+    A text that holds an added token (``<|endoftext|>``) goes to the tokenizer itself.
     """
 
     def __init__(self, path: str, words: int = CACHE_WORDS) -> None:
@@ -38,7 +39,9 @@ class WordCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.model, self.parts_of = tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
+        self.whole, self.model, self.parts_of = tokenizer, tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.most = words
@@ -59,6 +62,8 @@ class WordCache:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if self.added and self.added.search(text):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         odd = DOUBLE.search(text) or text[0].isspace() or text[-1].isspace()
         words = SINGLE.split(text) if odd else text.split(" ")
         made = [self.encode(words[0]), *map(self.words.get, words[1:])]

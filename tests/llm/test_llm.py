@@ -259,6 +259,15 @@ def test_word_cache_equals_the_tokenizer():
     same()
 
 
+def test_word_cache_knows_added_tokens():
+    from tokenizers import Tokenizer
+
+    whole, cache = Tokenizer.from_file(queries.tokenizer_path()), packing.WordCache(queries.tokenizer_path())
+    for text in ("hello <|endoftext|> you", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b ", "<|endoftext", "<|ENDOFTEXT|> x"):
+        assert cache.ids(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(cache.ids("<|endoftext|>")) == 4
+
+
 def test_best_fit_respects_bound():
     rng = np.random.default_rng(4)
     for _ in range(30):
