@@ -13,9 +13,10 @@ from foliospark.llm.components import connected_components
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Host and path of what follows the first ://
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Address of a canonical link, in either order of its attributes, and of a refresh redirect.
+#: Addresses of canonical links and of refresh redirects, in either order of their attributes, and of the base element.
 CANONICAL = (r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", r"""(?is)<link\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)[^>]*?\brel\s*=\s*["']?canonical\b""")
-REFRESH = (r"""(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b[^>]*?\burl\s*=\s*["']?([^"'\s>]+)""",)
+REFRESH = (r"""(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b[^>]*?\burl\s*=\s*["']?([^"'\s>]+)""", r"""(?is)<meta\b[^>]*?\burl\s*=\s*["']?([^"'\s>]+)[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b""")
+BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,33 @@ def url_key(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host_of(url), F.when(rest == "", F.lit("/")).otherwise(rest)))
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path without its ``.`` and ``..`` segments."""
+    kept = F.aggregate(
+        F.split(path, "/"), F.array().cast("array<string>"),
+        lambda done, part: F.when(part == ".", done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(part))),
+    )
+    plain = F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit("")))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), plain).otherwise(path)
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """The url a link on page ``base`` leads to; null for a fragment of the page itself and for schemes without ``//``."""
+    host = F.regexp_extract(base, _PARTS, 1)
+    path = path_of(base)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"(?s)^/?(.*/)?[^/]*$", 1))
+    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    on_host = lambda p: F.concat(F.lit("x://"), host, p)
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(F.lit("x:"), target))
+        .when((target == "") | target.startswith("#") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(~base.contains("://"), F.lit(None).cast("string"))
+        .when(target.startswith("?"), on_host(F.concat(F.when(path == "", F.lit("/")).otherwise(path), target)))
+        .when(target.startswith("/"), on_host(F.concat(without_dots(own), rest))).otherwise(on_host(F.concat(without_dots(F.concat(folder, own)), rest)))
+    )
+
+
 def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     """The longest rule that fits, as a struct (name, verdict); null if none does."""
     found = F.lit(None).cast("struct<name:string,verdict:string>")
@@ -57,12 +85,17 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column
 
 
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
-    """Edges (u, v) between url keys: canonical links and refresh redirects of pages, and ``redirects(source, target)``."""
-    links = F.array(*[F.regexp_extract("html", p, 1) for p in (*CANONICAL, *REFRESH)])
+    """Edges (u, v) between url keys: all canonical links and refresh redirects of pages, and ``redirects(source, target)``.
+
+    Targets are resolved against the page's url, or its base element, and redirects against their source.
+    """
+    links = F.flatten(F.array(*[F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in (*CANONICAL, *REFRESH)]))
+    within = F.regexp_extract("html", BASE, 1)
+    base = F.when(within == "", F.col("url")).otherwise(F.coalesce(resolve(F.col("url"), within), F.col("url")))
     marked = F.coalesce(F.col("html").rlike(r"(?i)\bcanonical\b|http-equiv"), F.lit(False))
-    found = only(pages, "url", "html").where(marked).select(url_key(F.col("url")).alias("u"), F.explode(links).alias("to")).select("u", url_key(F.col("to")).alias("v"))
+    found = only(pages, "url", "html").where(marked).select("url", base.alias("base"), F.explode(links).alias("to")).select(url_key(F.col("url")).alias("u"), url_key(resolve(F.col("base"), F.col("to"))).alias("v"))
     if redirects is not None:
-        found = found.union(only(redirects, "source", "target").select(url_key(F.col("source")).alias("u"), url_key(F.col("target")).alias("v")))
+        found = found.union(only(redirects, "source", "target").select(url_key(F.col("source")).alias("u"), url_key(resolve(F.col("source"), F.col("target"))).alias("v")))
     return found.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
 
 

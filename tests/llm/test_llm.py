@@ -424,6 +424,21 @@ def test_urls_spread_blocks_to_aliases(spark):
     assert {r.page_id: r.verdict for r in plain.collect()} == {4: "block", 5: "allow"}
 
 
+def test_relative_links_and_all_links_are_aliases(spark):
+    canonical, refresh = '<link rel="canonical" href="{}">', '<meta content="0; url={}" http-equiv="refresh">'
+    pages = {
+        "http://a.info/x": canonical.format("//bad.net/1"), "http://b.info/x": refresh.format("http://bad.net/2"), "http://c.info/x": canonical.format("http://fine.info/") + canonical.format("http://bad.net/3"),
+        "http://shop.example.com/p": canonical.format("/de/x"), "http://shop.example.com/q/r": refresh.format("../de/./y?z"), "http://d.info/x": '<base href="http://bad.net/b/">' + canonical.format("k"),
+        "http://e.info/x": canonical.format("/login?next=http://bad.net/4"), "http://f.info/x": canonical.format("mailto:a@bad.net") + canonical.format("#top"),
+    }
+    frame = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages.items())], "page_id long, url string, html string")
+    got = [r.verdict for r in url_filter.judge_urls(frame, queries.RULES).orderBy("page_id").collect()]
+    assert got == ["block"] * 6 + ["allow"] * 2
+    pairs = [("http://h/a/b", t) for t in ("c", "./c", "../c", "../../c", "/x/../y", "?q", "..", "c?u=/../d")]
+    made = spark.createDataFrame(pairs, "b string, t string").select(url_filter.resolve(F.col("b"), F.col("t")).alias("v")).collect()
+    assert [r.v for r in made] == ["x://h/a/c", "x://h/a/c", "x://h/c", "x://h/c", "x://h/y", "x://h/a/b?q", "x://h/", "x://h/a/c?u=/../d"]
+
+
 # --- 10 chat
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "", "a|>b"]), st.text(alphabet="a<[|\\/>sINT]lbp\n", max_size=12)), max_size=6))
