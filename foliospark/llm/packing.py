@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,54 +28,71 @@ GIVE_BACK = 0.02
 FULL = 0.998
 
 
+#: Fixed value: the pre-tokenizer's pattern of byte-level vocabularies. Code points from ``FOREIGN`` on go through the tokenizer itself,
+#: so that no engine's newer Unicode tables matter.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+FOREIGN = "\u0250"
+
+
+def byte_pair_core(path: str) -> Callable[[str], bytes] | None:
+    """A compiled encoder to little-endian ids for a byte-level BPE file whose merges make ids in order; else None."""
+    spec = json.loads(Path(path).read_text())
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if (model.get("type"), before.get("type"), before.get("use_regex", True), before.get("add_prefix_space")) != ("BPE", "ByteLevel", True, False) or spec.get("normalizer") or model.get("dropout"):
+        return None
+    import tiktoken
+
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    vocab, added = model["vocab"], {t["content"] for t in spec.get("added_tokens", ())}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ranks = {bytes(map(byte_of.__getitem__, token)): n for token, n in vocab.items() if token not in added}
+    if any(vocab.get(a + b) != 256 + n for n, (a, b) in enumerate(merges)) or any(n >= 256 for token, n in ranks.items() if len(token) == 1):
+        return None
+    encode, none = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_to_tiktoken_buffer, frozenset()
+    return lambda text: bytes(encode(text, none))
+
+
 class WordCache:
-    """Token ids of a text through a byte-level BPE, word by word, remembering words and their parts.
+    """Token ids of a text through a byte-level BPE, word by word, remembering words.
 
     The pre-tokenizer never joins what stands before and after a single space between two non-space
     characters, so a text may be cut at such spaces, and each word after one is encoded with its space.
-    A text that holds an added token (``<|endoftext|>``) goes to the tokenizer itself.
+    Words that aren't remembered go through a compiled encoder of the same vocabulary, words with code points from ``FOREIGN`` on and
+    texts that hold an added token (``<|endoftext|>``) through the tokenizer itself.
     """
 
     def __init__(self, path: str, words: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        self.whole, self.model, self.parts_of = tokenizer, tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
-        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.whole, self.core = Tokenizer.from_file(path), byte_pair_core(path)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         self.most = words
 
     def encode(self, piece: str) -> bytes:
-        """Ids of a piece that starts and ends at a border of the pre-tokenizer."""
-        out = []
-        for part, _ in self.parts_of(piece):
-            made = self.parts.get(part)
-            if made is None:
-                made = np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
-                if len(self.parts) < self.most * 0.6 and len(part) <= 40:
-                    self.parts[part] = made
-            out.append(made)
-        return b"".join(out)
+        """Ids of a piece that starts and ends at a border of the pre-tokenizer and holds no added token."""
+        if self.core and (piece.isascii() or max(piece) < FOREIGN):
+            return self.core(piece)
+        return np.array(self.whole.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.added and self.added.search(text):
+        if any(token in text for token in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         odd = DOUBLE.search(text) or text[0].isspace() or text[-1].isspace()
         words = SINGLE.split(text) if odd else text.split(" ")
         made = [self.encode(words[0]), *map(self.words.get, words[1:])]
-        if None in made:
-            for at, done in enumerate(made):
-                if done is None:
-                    word = words[at]
-                    made[at] = done = self.words.get(word) or self.encode(" " + word)
-                    if len(self.words) < self.most and len(word) <= 40:
-                        self.words[word] = done
+        at, missing = -1, made.count(None)
+        for _ in range(missing):
+            at = made.index(None, at + 1)
+            word = words[at]
+            made[at] = done = self.encode(" " + word)
+            if len(self.words) < self.most and len(word) <= 40:
+                self.words[word] = done
         return b"".join(made)
 
 

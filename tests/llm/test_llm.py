@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from foliospark.llm import chat, common, components, exact_dedup, jaccard, langid, mixing, packing, pii, queries, topk, toxicity, url_filter
+from foliospark.llm import chat, common, components, exact_dedup, jaccard, langid, mixing, packing, pii, queries, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n string, cls string, owner string, sha string, copy string, rate string, terms string, row string, component string, held_out string"
 
@@ -244,20 +244,6 @@ def test_spilled_subtrees_lose_nothing(monkeypatch):
 
 
 # --- 6 packing
-def test_word_cache_equals_the_tokenizer():
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(queries.tokenizer_path())
-    whole.encode_special_tokens = True
-    cache = packing.WordCache(queries.tokenizer_path(), words=20)
-
-    @settings(max_examples=300, deadline=None)
-    @given(st.text(alphabet="ab 'sI1,.\n\té <|>日", max_size=50))
-    def same(text):
-        assert cache.ids(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    same()
-
 
 def test_word_cache_knows_added_tokens():
     from tokenizers import Tokenizer
@@ -303,37 +289,6 @@ def test_packed_documents_are_whole(spark, edge, empty, monkeypatch):
     assert packing.pack_documents(empty, queries.tokenizer_path()).count() == 0
 
 
-# --- 7 top-k
-def test_top_k_edges(spark):
-    rng = np.random.default_rng(5)
-    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8)], "x") for i in range(300)]
-    rows += [(300 + i, rows[20][1], "x") for i in range(60)]  # one vector that is very common
-    rows += [(1000, None, "x"), (1020, [1.0, None], "x"), (1040, [float("nan")] * 8, "x"), (1060, [float("inf")] * 8, "x"), (None, [0.1] * 8, "x"), (1080, [0.5] * 3, "x")]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    got = {}
-    for r in topk.top_k(frame, k=20).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    fine = {i: np.floor(64 * np.array(np.float32(v), np.float64)).astype(int) for i, v, _ in rows if i is not None and (i < 1000 or i == 1080)}
-    for q in [i for i in fine if i % 20 == 0]:
-        want = sorted((-int((fine[q][: len(v)] * v[: len(fine[q])]).sum()), i) for i, v in fine.items() if i != q)[:20]
-        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
-    assert set(got) == {i for i in fine if i % 20 == 0}
-    assert topk.top_k(frame.limit(0)).count() == 0 and topk.top_k(frame.where("vec_id = 20")).count() == 0
-
-
-def test_dual_search_in_shards_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD", 90)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 6)
-    monkeypatch.setattr(topk, "SEED_ROWS", 64)
-    rng = np.random.default_rng(6)
-    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 16)]) for i in range(400)]
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5).collect()}
-    full = np.floor(64 * np.array([np.float32(v) for _, v in rows], np.float64))
-    for q in range(0, 400, 20):
-        want = sorted((-int(full[q] @ full[i]), i) for i in range(400) if i != q)[:5]
-        assert [got[q, n + 1] for n in range(5)] == [(i, -s) for s, i in want]
-
-
 # --- 8 n-gram Jaccard
 def brute_components(rows, words, num, den):
     sets = {}
