@@ -19,6 +19,8 @@ from foliospark.llm.common import held_out, only, remember
 
 #: Bounds of the training sample: documents of each label, of any length.
 TOXIC_DOCS, ORDINARY_DOCS = 2_500, 5_000
+#: Bounds of the ordinary dictionary's training sample: texts of the first, and pieces of each, of ``WINDOW`` bytes.
+DICTIONARY_DOCS, DICTIONARY_PIECES = 1_500, 32
 #: Bytes of the dictionaries' parts, and of the substrings that tell toxic words.
 TOXIC_BYTES, COMMON_BYTES, GRAMS = 8_192, 3_072, (5, 7, 8, 9)
 #: A substring of the shortest length is toxic if it is this many times as frequent in toxic texts, in so many of them.
@@ -238,6 +240,12 @@ def _limits(texts: list[set[bytes]], line: Callable[[set[bytes]], float], least:
     return tuple(limits), low, max(0.0, (limits[-1] - limits[0]) / max(1, len(limits) - 1))
 
 
+def _spread(text: bytes) -> list[bytes]:
+    """At most ``DICTIONARY_PIECES`` pieces of a text, evenly spread over the whole of it."""
+    cuts = range(0, len(text), WINDOW)
+    return [text[i : i + WINDOW] for i in cuts[:: -(-len(cuts) // DICTIONARY_PIECES) or 1] if len(text) - i >= 8]
+
+
 def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel | None:
     """Train both dictionaries on two thirds of the texts and calibrate the thresholds, by length class, on the rest.
 
@@ -249,7 +257,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel | None:
     segments = _toxic_segments(first(toxic), first(ordinary)) if len(toxic) > 2 and len(ordinary) > 2 else []
     if not segments:
         return None
-    samples = [b for t in first(ordinary)[:1500] for b in (lambda x: [x[i : i + 64] for i in range(0, min(len(x), 2000), 64)])(b" ".join(words_of(t))) if len(b) >= 8]
+    samples = [piece for text in first(ordinary)[:DICTIONARY_DOCS] for piece in _spread(b" ".join(words_of(text)))]
     try:
         common = zstandard.train_dictionary(4096, samples, k=64, d=8, level=3).as_bytes()[-COMMON_BYTES:]
     except zstandard.ZstdError:
