@@ -32,11 +32,11 @@ def remember(key: tuple, make: Callable[[], object]) -> object:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once, unless they find it by their path or working folder."""
+    """Send this package to the Python workers of a cluster, once; workers of a local session find it by their path or working folder."""
     root = Path(__file__).resolve().parents[2]
     known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     context = spark.sparkContext
-    if root in known or Path.cwd() == root or context.applicationId in _shipped:
+    if context.applicationId in _shipped or is_local(spark) and (root in known or Path.cwd() == root):
         return
     _shipped.add(context.applicationId)
     archive = Path(tempfile.mkdtemp(prefix="folio-code-")) / "foliospark.zip"
@@ -46,17 +46,24 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(archive))
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and workers are one machine."""
+    return spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests on one machine)
-    a temporary folder is set. The copy survives lost executors.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a local session gets a temporary
+    folder, and a cluster is refused, as its executors share none. The copy survives lost executors.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folio-checkpoint-")
-        context.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="folio-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -91,9 +98,9 @@ def is_held_out(key: object) -> bool:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns of the input can't clash with derived ones.
 
-    Every operator starts here, so it also sees to the workers' code and the size of Arrow batches.
+    Every operator starts here, so it also sees to the workers' code and, in a session that doesn't set it, to the size of
+    Arrow batches; a size that the session sets itself is left alone.
     """
     ship(df.sparkSession)
-    if int(df.sparkSession.conf.get(ARROW_BYTES, str(64 << 20)).rstrip("b")) > BATCH_BYTES:
-        df.sparkSession.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+    df.sparkSession.conf.set(ARROW_BYTES, df.sparkSession.conf.get(ARROW_BYTES, str(BATCH_BYTES)))
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -14,6 +14,8 @@ from foliospark.llm.common import only
 
 #: Bytes of text that one task's trie may hold before it spills its largest subtrees.
 TRIE_BYTES = 48 << 20
+#: A trie of the owners covers one of 4,096 ranges of the hashes of one length.
+RANGE_SHIFT = 52
 
 
 def normalise(text: str | None) -> bytes:
@@ -45,10 +47,11 @@ class PatriciaTrie:
 
     def __init__(self, largest: bool = True) -> None:
         self.root, self.bytes, self.largest = _Node(b""), 0, largest
+        self.sizes: dict[int, int] = {}
 
-    def insert(self, key: bytes, owner: int | None, count: int = 1) -> None:
-        """Add ``count`` copies of ``key``; of all owners the best one stays, and any id beats null."""
-        node, at = self.root, 0
+    def insert(self, key: bytes, owner: int | None, count: int = 1) -> int:
+        """Add ``count`` copies of ``key``; of all owners the best one stays, and any id beats null. Returns the bytes it took."""
+        node, at, before = self.root, 0, self.bytes
         while at < len(key):
             kid = node.kids.get(key[at])
             if kid is None:
@@ -64,10 +67,20 @@ class PatriciaTrie:
         node.count += count
         if owner is not None and (node.owner is None or (owner > node.owner) == self.largest):
             node.owner = owner
-
-    def terminals(self) -> Iterator[tuple[bytes, int | None, int]]:
-        """Every stored string with its owner and count."""
-        stack = [(self.root, b"")]
+        grown = self.bytes - before
+        if grown:
+            self.sizes[key[0]] = self.sizes.get(key[0], 0) + grown
+        return grown
+
+    def cut(self, first: int) -> Iterator[tuple[bytes, int | None, int]]:
+        """Take the subtree of strings that begin with a byte out of the trie; gives its strings."""
+        kid = self.root.kids.pop(first)
+        self.bytes -= self.sizes.pop(first)
+        return self.terminals([(kid, kid.label)])
+
+    def terminals(self, stack: list[tuple[_Node, bytes]] | None = None) -> Iterator[tuple[bytes, int | None, int]]:
+        """Every stored string with its owner and count, of the whole trie or below the given nodes."""
+        stack = [(self.root, b"")] if stack is None else stack
         while stack:
             node, head = stack.pop()
             if node.count:
@@ -76,64 +89,75 @@ class PatriciaTrie:
 
 
 def _local(batches: Iterator[pa.RecordBatch], largest: bool) -> Iterator[pa.RecordBatch]:
-    """Collapse one task's copies: a trie for each length, spilled by subtree above ``TRIE_BYTES``."""
+    """Collapse one task's copies: a trie for each length, whose largest subtrees are spilled above ``TRIE_BYTES``."""
     tries: dict[int, PatriciaTrie] = {}
     held = 0
 
-    def rows(done: list[PatriciaTrie]) -> Iterator[pa.RecordBatch]:
+    def rows(terminals: Iterator[tuple[bytes, int | None, int]]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], [], []]
         size = 0
-        for trie in done:
-            for key, owner, count in trie.terminals():
-                for column, value in zip(out, (len(key), xxhash.xxh64_intdigest(key) - (1 << 63), key, owner, count), strict=True):
-                    column.append(value)
-                size += len(key)
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _PART.types, strict=True)], schema=_PART)
-                    out, size = [[], [], [], [], []], 0
+        for key, owner, count in terminals:
+            for column, value in zip(out, (len(key), xxhash.xxh64_intdigest(key) - (1 << 63), key, owner, count), strict=True):
+                column.append(value)
+            size += len(key)
+            if size > 8 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _PART.types, strict=True)], schema=_PART)
+                out, size = [[], [], [], [], []], 0
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _PART.types, strict=True)], schema=_PART)
 
+    def spilled() -> Iterator[tuple[bytes, int | None, int]]:
+        """Terminals of the largest subtrees of all tries, until half the room is free."""
+        nonlocal held
+        for size, n, first in sorted(((size, n, first) for n, trie in tries.items() for first, size in trie.sizes.items()), reverse=True):
+            if held <= TRIE_BYTES // 2:
+                break
+            yield from tries[n].cut(first)
+            held -= size
+
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             key = normalise(text.as_py())
             trie = tries.get(len(key))
             if trie is None:
                 trie = tries[len(key)] = PatriciaTrie(largest)
-            before = trie.bytes
-            trie.insert(key, i)
-            held += trie.bytes - before
+            held += trie.insert(key, i)
             if held > TRIE_BYTES:
-                large = sorted(tries, key=lambda n: -tries[n].bytes)
-                spilled = []
-                while held > TRIE_BYTES // 2 and large:
-                    spilled.append(tries.pop(large.pop(0)))
-                    held -= spilled[-1].bytes
-                yield from rows(spilled)
-    yield from rows(list(tries.values()))
+                yield from rows(spilled())
+                tries = {n: t for n, t in tries.items() if t.sizes or t.root.count}
+    for trie in tries.values():
+        yield from rows(trie.terminals())
 
 
 def _owners(batches: Iterator[pa.RecordBatch], largest: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (length, hash): one trie for each such key, let go when the key is over."""
-    trie, now = PatriciaTrie(largest), None
+    """Rows sorted by length and hash: one trie for each length and range of hashes.
+
+    A trie is let go when its range is over. If it would outgrow ``TRIE_BYTES`` before, its subtrees are spilled as soon as
+    a new hash begins, for then all its strings are complete.
+    """
+    trie, now, last = PatriciaTrie(largest), None, None
     out: list[list] = [[], [], []]
 
-    def close() -> None:
-        for text, owner, count in trie.terminals():
+    def put(terminals: Iterator[tuple[bytes, int | None, int]]) -> None:
+        for text, owner, count in terminals:
             out[0].append(hashlib.sha256(text).digest())
             out[1].append(owner)
             out[2].append(count)
 
     for batch in batches:
         for n, h, key, owner, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (n, h) != now:
-                close()
-                trie, now = PatriciaTrie(largest), (n, h)
+            if (n, h >> RANGE_SHIFT) != now:
+                put(trie.terminals())
+                trie, now = PatriciaTrie(largest), (n, h >> RANGE_SHIFT)
+            if trie.bytes + n > TRIE_BYTES and h != last:
+                for first in list(trie.sizes):
+                    put(trie.cut(first))
             trie.insert(key, owner, count)
+            last = h
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _OWNER.types, strict=True)], schema=_OWNER)
             out = [[], [], []]
-    close()
+    put(trie.terminals())
     if out[0]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _OWNER.types, strict=True)], schema=_OWNER)
 
@@ -152,13 +176,13 @@ def text_owners(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """One row for each distinct text: ``sha`` (of the normalised bytes), ``keep_id``, ``group_size``.
 
     Each input task first collapses its own copies in tries, so of a group with a third of all rows only
-    one string for each task is shuffled. Those go to partitions of (length, content hash), where the full
-    byte strings meet in one trie for each key: equality is decided by bytes, never by the hash. Rows arrive
-    sorted by key, so a finished key is let go; the sort spills to disk by itself.
+    one string for each task is shuffled. Those go to partitions of (length, range of content hashes), where the full
+    byte strings meet in one trie: equality is decided by bytes, never by the hash. Rows arrive sorted by length and
+    hash, so a finished range is let go, and a large one spills its subtrees; the sort spills to disk by itself.
     """
     largest = keep == "largest"
     parts = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(lambda it: _local(it, largest), "n long, h long, key binary, owner long, copies long")
-    dealt = parts.repartition("n", "h").sortWithinPartitions("n", "h")
+    dealt = parts.repartition("n", F.shiftright("h", RANGE_SHIFT)).sortWithinPartitions("n", "h")
     return dealt.mapInArrow(lambda it: _owners(it, largest), "sha binary, keep_id long, group_size long")
 
 

@@ -367,7 +367,7 @@ def class_links(docs: DataFrame, classes: DataFrame, words: int, num: int, den:
     smallest = F.floor((F.col("n") * num + den - 1) / den)
     need = F.greatest(F.lit(1), F.floor(smallest * EXTRA))
     alive = checkpoint(classes.join(met, "cls").where(F.col("met") >= need).select("cls", "n", F.col("rep").alias("doc_id")))
-    living = narrow.join(sized(alive.select("doc_id")), "doc_id", "left_semi")
+    living = _texts_of(narrow, alive)
     left = alive.agg(F.sum("n")).first()[0] or 0
     whole, buckets = dealt(living, True, left)
     weighed = whole.groupBy("bucket").applyInArrow(lambda t: _weighed(t, buckets), _BUCKET_SQL)
@@ -379,30 +379,36 @@ def class_links(docs: DataFrame, classes: DataFrame, words: int, num: int, den:
     placed = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("tokens_in") / BLOCK_TOKENS)).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     placed = checkpoint(placed)
-    near = narrow.join(sized(placed.select("doc_id")), "doc_id", "left_semi")
-    sets = near.mapInArrow(lambda it: _tokens(it, words), "doc_id long, cls long, tokens binary")
-    full = sets.join(sized(placed), ["doc_id", "cls"])
+    near = _texts_of(narrow, placed)
+    sets = near.mapInArrow(lambda it: _tokens(it, words), "doc_id long, cls long, tokens binary").withColumnsRenamed({"doc_id": "of_doc", "cls": "of_cls"})
+    full = sets.join(sized(placed), (F.col("of_cls") == F.col("cls")) & F.col("of_doc").eqNullSafe(F.col("doc_id")))
     met_blocks = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("i"), F.greatest(b, F.col("block")).alias("j"))))
     pairs = full.select("component", "cls", "block", "tokens", met_blocks.alias("at")).select("component", "cls", "block", "tokens", "at.i", "at.j")
     return pairs.groupBy("component", "i", "j").applyInArrow(lambda t: _exact(t, words, num, den), "u long, v long")
 
 
+def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The documents that stand for the classes; texts without doc_id come all, if they stand for any."""
+    ids = sized(classes.select(F.col("doc_id").alias("of_doc")).distinct())
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left_semi")
+
+
 def ngram_jaccard(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+    """One row per document: doc_id, n_shingles, component_id, and class_id, which equal sets share (null for empty ones).
 
     Sets are distinct ``words``-word shingles of the whole text, A-Z folded. Two documents link when
     ``den * intersection >= num * union``; the component is the smallest doc_id reachable by links. A text with
     fewer words is one shingle; null, empty and blank texts have no shingle and link with nothing. Equal sets
-    are one class before anything is joined, so copies are never paired. Rows with null doc_id come back
-    with the component of their set. Shingles are 64-bit hashes. Extra columns are ignored; an empty
+    are one class before anything is joined, so copies are never paired. Rows with null doc_id link like all others
+    and come back with the component of their set, null where no row of it has an id. Shingles are 64-bit hashes. Extra columns are ignored; an empty
     table gives no rows.
     """
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     members = checkpoint(set_classes(docs, words))
-    classes = checkpoint(members.where(F.col("cls").isNotNull()).groupBy("cls", "n").agg(F.min("doc_id").alias("rep")).where(F.col("rep").isNotNull()))
+    classes = checkpoint(members.where(F.col("cls").isNotNull()).groupBy("cls", "n").agg(F.min("doc_id").alias("rep")))
     joined = connected_components(class_links(docs, classes, words, num, den))
     label = joined.join(classes, joined.node == classes.cls).select("node", "component", "rep")
     least = label.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = classes.join(label.join(least, "component").select(F.col("node").alias("cls"), "component_id"), "cls", "left")
     of_class = of_class.select("cls", F.coalesce("component_id", "rep").alias("component_id"))
-    return members.join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return members.join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class_id"))

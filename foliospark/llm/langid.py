@@ -14,9 +14,9 @@ from foliospark.llm.common import held_out, only
 
 #: Dimensions of a hypervector; letters of the alphabet; letters of an n-gram.
 DIMENSIONS, LETTERS, GRAM = 512, 64, 3
-#: Languages that a model may hold; beyond that, the most frequent stay.
-MAX_LANGUAGES = 512
 UNKNOWN = "und"
+#: N-grams whose vectors are bundled at once.
+SLICE = 4_096
 #: Characters coded at once.
 CHUNK = 1 << 20
 
@@ -101,31 +101,38 @@ def _counts_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     yield from rows()
 
 
-def train(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
+def bundled(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of n-gram vectors by their counts, in slices, so that a long text's vectors are never all in memory."""
+    vectors = gram_vectors()
+    out = np.zeros(DIMENSIONS, np.float64)
+    for at in range(0, len(ids), SLICE):
+        out += counts[at : at + SLICE].astype(np.float32) @ vectors[ids[at : at + SLICE]].astype(np.float32)
+    return out
+
+
+def _prototype(table: pa.Table) -> pa.Table:
+    """The bundle of one language; it has at most as many rows as there are n-grams."""
+    bundle = bundled(table.column("gram").to_numpy(), table.column("n").to_numpy().astype(np.float64))
+    return pa.table({"lang": pa.array([table.column("lang")[0].as_py()], pa.string()), "bundle": pa.array([bundle.tolist()], pa.list_(pa.float64()))})
+
+
+def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Language names and unit prototypes from all rows that aren't held out and have text and lang.
 
     Bundling is linear, so n-gram counts are added up by language first and each n-gram's vector
-    is bundled once. The driver gets at most ``max_languages`` times the number of n-grams, pre-added.
+    is bundled once, in one task for each language. The driver gets one vector of ``DIMENSIONS`` for each language.
     """
     rows = only(docs, "doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = rows.select("text", "lang").mapInArrow(_counts_by_language, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    names = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    packed = counts.join(F.broadcast(names.select("lang")), "lang").groupBy("lang").agg(F.collect_list(F.struct("gram", "n")).alias("grams"))
-    vectors = gram_vectors()
-    langs, rows_of = [], []
-    for lang, grams in sorted((r.lang, r.grams) for r in packed.toLocalIterator()):
-        ids, n = np.array([g.gram for g in grams]), np.array([g.n for g in grams], np.float64)
-        bundle = sum(n[at : at + 4096] @ vectors[ids[at : at + 4096]] for at in range(0, len(ids), 4096))
-        langs.append(lang)
-        rows_of.append(bundle)
-    proto = np.array(rows_of, np.float64).reshape(len(langs), DIMENSIONS)
+    made = sorted((r.lang, r.bundle) for r in counts.groupBy("lang").applyInArrow(_prototype, "lang string, bundle array<double>").collect())
+    langs = [lang for lang, _ in made]
+    proto = np.array([bundle for _, bundle in made], np.float64).reshape(len(langs), DIMENSIONS)
     unit = proto / np.maximum(np.linalg.norm(proto, axis=1, keepdims=True), 1e-12)
     return langs, unit
 
 
 def _predict(batches: Iterator[pa.RecordBatch], langs: list[str], unit: np.ndarray) -> Iterator[pa.RecordBatch]:
-    vectors = gram_vectors()
-    proto = unit.T.astype(np.float32)
+    proto = unit.T
     for batch in batches:
         names, scores = [], []
         for text in batch.column(1):
@@ -134,7 +141,7 @@ def _predict(batches: Iterator[pa.RecordBatch], langs: list[str], unit: np.ndarr
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            bundle = counts.astype(np.float32) @ vectors[ids].astype(np.float32)
+            bundle = bundled(ids, counts)
             cosine = bundle @ proto / max(float(np.linalg.norm(bundle)), 1e-12)
             best = int(np.argmax(cosine))
             names.append(langs[best])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -157,17 +158,22 @@ class BoostedTrees:
                     high = side & ~low
                     sides.append((f2, cut2, leaf(g[low], h[low]), leaf(g[high], h[high])))
             self.trees.append((f, cut, *sides))
-            score = score + np.array([self._tree(self.trees[-1], r) for r in x])
+            score = score + self._tree(self.trees[-1], x)
         return self
 
     @staticmethod
-    def _tree(tree: tuple, row: np.ndarray | list[float]) -> float:
+    def _tree(tree: tuple, x: np.ndarray) -> np.ndarray:
+        """One tree's values of all rows."""
         f, cut, low, high = tree
-        f2, cut2, a, b = low if row[f] <= cut else high
-        return a if row[f2] <= cut2 else b
+        side = lambda s: np.where(x[:, s[0]] <= s[1], s[2], s[3])
+        return np.where(x[:, f] <= cut, side(low), side(high))
 
-    def probability(self, row: np.ndarray | list[float]) -> float:
-        return 1 / (1 + math.exp(-self.base - sum(self._tree(t, row) for t in self.trees)))
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities of all rows at once."""
+        score = np.full(len(x), self.base)
+        for tree in self.trees:
+            score += self._tree(tree, x)
+        return 1 / (1 + np.exp(-score))
 
 
 def _examples(seed: int, number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +231,7 @@ def chooser(seed: int = 11, number: int = 400) -> tuple[BoostedTrees, dict[str,
     """The boosted trees, and for each kind the lowest threshold that keeps ``PRECISION`` on other examples."""
     model = BoostedTrees().fit(*_examples(seed, number))
     x, y = _examples(seed + 1, number)
-    p = np.array([model.probability(r) for r in x])
+    p = model.probability(x)
     limits = {}
     for n, kind in enumerate(KINDS):
         mine = x[:, 0] == n
@@ -239,16 +245,35 @@ def chooser(seed: int = 11, number: int = 400) -> tuple[BoostedTrees, dict[str,
 
 
 def find_spans(text: str, model: BoostedTrees, limits: dict[str, float]) -> tuple[list[Span], list[Span]]:
-    """Base spans, and all spans: the base and the chosen candidates that overlap none chosen before."""
-    base = base_spans(text)
-    ranked = sorted(((model.probability(features(text, s)), s) for s in candidates(text)), key=lambda r: (-r[0], order(r[1])))
+    """Base spans, and all spans: the base and the chosen candidates, the likeliest first, that overlap none chosen before."""
+    base, found = base_spans(text), candidates(text)
+    if not found:
+        return base, base
+    likely = model.probability(np.array([features(text, s) for s in found]))
+    ranked = sorted(((-p, order(s), s) for p, s in zip(likely.tolist(), found, strict=True) if p >= limits[s[0]]))
+    starts, ends = _merged(base)
     chosen = list(base)
-    for p, span in ranked:
-        if p >= limits[span[0]] and all(span[2] <= s[1] or span[1] >= s[2] for s in chosen):
+    for *_, span in ranked:
+        at = bisect.bisect_left(ends, span[1] + 1)
+        if at == len(starts) or span[2] <= starts[at]:
             chosen.append(span)
+            starts.insert(at, span[1])
+            ends.insert(at, span[2])
     return base, sorted(chosen, key=order)
 
 
+def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover, disjoint and in order."""
+    starts, ends = [], []
+    for start, end in sorted((a, b) for _, a, b in spans):
+        if starts and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def written(spans: list[Span]) -> str:
     """kind:start:end, comma-joined."""
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
