@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,24 +23,48 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject_toxic(docs, queries.table(spark, sf_dir, "labels"))
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for the case of A-Z, the row with the largest doc_id stays.
+    """Of texts equal but for the case of A-Z, one row stays: that with the largest doc_id, any of them if rows repeat it.
 
-    Rows that share a doc_id stay together if one of them stays; rows without one stay.
+    A row without doc_id stays only if no row of its group has one. Rows that share a doc_id but not their text are told apart.
     """
     groups = exact_dedup.exact_dedup(docs)
-    gone = checkpoint(groups.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select("doc_id"))
-    return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    keys = checkpoint(groups.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows")).where(~F.col("kept") | (F.col("rows") > 1)))
+    sha, key = _free(docs, "__sha"), F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase).cast("binary")
+    marked = docs.withColumn(sha, F.sha2(key, 256))
+    same = lambda side: F.col("doc_id").eqNullSafe(side["of_doc"]) & (F.col(sha) == side["of_sha"])
+    of = lambda rows: sized(rows.select(F.col("doc_id").alias("of_doc"), F.col("text_sha256").alias("of_sha")))
+    gone, repeated = of(keys.where(~F.col("kept"))), of(keys.where(F.col("kept")))
+    rest = marked.join(gone, same(gone), "left_anti")
+    if repeated.isEmpty():
+        return rest.select(*docs.columns)
+    once = rest.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", sha])
+    return rest.join(repeated, same(repeated), "left_anti").unionByName(once).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component at five words and 0.8, the document with the smallest doc_id stays.
+    """Of each component at five words and 0.8, one row stays: that with the smallest doc_id, any of them if rows repeat it.
 
-    Rows that share a doc_id stay together if one of them stays; rows without one stay.
+    A row without doc_id stays only if no row of its component has one. Texts without words are components of their own. Rows are told
+    apart by their place in ``docs``, which is a table or another input that reads the same each time.
     """
-    groups = jaccard.ngram_jaccard(only(docs, "doc_id", "text"), words=5, num=80, den=100)
-    gone = checkpoint(groups.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept")).where(~F.col("kept")).select("doc_id"))
-    return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    row = _free(docs, "__row")
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    groups = jaccard.ngram_jaccard(placed.select(F.col(row).alias("doc_id"), "text"), words=5, num=80, den=100)
+    labelled = groups.where("class_id is not null").select(F.col("doc_id").alias(row), "component_id").join(placed.select("doc_id", row), row)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", row)).alias("first")
+    members = checkpoint(labelled.select("component_id", "doc_id", row))
+    kept = members.groupBy("component_id").agg(first).select(F.col(f"first.{row}").alias(row))
+    gone = checkpoint(members.select(row).join(kept, row, "left_anti"))
+    return placed.join(sized(gone), row, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
