@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from foliospark.functions import predicates as P
 from foliospark.functions.portable import Dialect, cases
 
@@ -37,21 +40,24 @@ def block_type(d: Dialect, t: str) -> str:
     )
 
 
-def importance(d: Dialect, t: str, kind: str, page: str) -> str:
-    """skip, low, medium or high by type, length, position and words."""
-    bare = d.strip(t)
-    n = d.words(bare)
-    paragraph = cases((f"{n} < 5", "'low'"), (f"{n} > 50", "'high'"), (d.any_of(f"lower({bare})", ACADEMIC_WORDS), "'high'"), (f"{page} <= 3 and {n} > 15", "'high'"), otherwise="'medium'")
-    item = cases((f"{n} < 3", "'low'"), (f"{n} > 20", "'medium'"), (d.like(bare, r"^\s*\[?\d+\]?\s*[A-Z][^.]*\.\s*$"), "'low'"), otherwise="'medium'")
+def importance(d: Dialect, t: str, kind: str, page: str, bare: str | None = None, low: str | None = None) -> str:
+    """skip, low, medium or high by type, length, position and words; an image is medium from five words of its recognised text, else low.
+
+    ``bare`` and ``low`` name columns that already hold the stripped text and its lower case.
+    """
+    bare = bare or d.strip(t)
+    low, from_words = low or f"lower({bare})", lambda number: d.words_from(bare, number)
+    paragraph = cases((f"not {from_words(5)}", "'low'"), (from_words(51), "'high'"), (d.any_of(low, ACADEMIC_WORDS), "'high'"), (f"{page} <= 3 and {from_words(16)}", "'high'"), otherwise="'medium'")
+    item = cases((f"not {from_words(3)}", "'low'"), (from_words(21), "'medium'"), (d.like(bare, r"^\s*\[?\d+\]?\s*[A-Z][^.]*\.\s*$"), "'low'"), otherwise="'medium'")
     return cases(
-        (f"{bare} = '' or {P.skip_content(d, bare)}", "'skip'"), (f"{kind} = 'h1'", "'high'"), (f"{kind} = 'h2'", cases((f"length({bare}) > 20", "'high'"), otherwise="'medium'")),
+        (f"{kind} = 'image'", cases((from_words(5), "'medium'"), otherwise="'low'")), (f"{bare} = '' or {P.skip_content(d, bare, bare, low)}", "'skip'"), (f"{kind} = 'h1'", "'high'"), (f"{kind} = 'h2'", cases((f"length({bare}) > 20", "'high'"), otherwise="'medium'")),
         (f"{kind} = 'paragraph'", paragraph), (f"{kind} = 'list_item'", item), otherwise="'medium'",
     )
 
 
-def routing_tool(d: Dialect, t: str, level: str) -> str:
+def routing_tool(d: Dialect, t: str, level: str, low: str | None = None) -> str:
     """markup for math and complex tables, strong for important texts, fast for the rest, skip for what isn't translated."""
-    return cases((f"{level} = 'skip'", "'skip'"), (f"{P.math_content(d, t)} or {P.complex_table(d, t)}", "'markup'"), (f"{level} = 'high'", "'strong'"), otherwise="'fast'")
+    return cases((f"{level} = 'skip'", "'skip'"), (f"{P.math_content(d, t, low)} or {P.complex_table(d, t)}", "'markup'"), (f"{level} = 'high'", "'strong'"), otherwise="'fast'")
 
 
 def profile_tool(d: Dialect, content_type: str, complexity: str, fallback: str) -> str:
@@ -116,10 +122,45 @@ def detection_class(label: str) -> str:
 
 def relative_position(dx: str, dy: str) -> str:
     """Along the dominant axis of the centres' distance."""
-    return cases((f"abs({dy}) > abs({dx})", cases((f"{dy} > 0", "'below'"), otherwise="'above'")), otherwise=cases((f"{dx} > 0", "'right'"), otherwise="'left'"))
+    return cases((f"abs({dy}) > abs({dx})", cases((f"{dy} < 0", "'above'"), otherwise="'below'")), otherwise=cases((f"{dx} < 0", "'left'"), otherwise="'right'"))
 
 
 def toc_level(d: Dialect, t: str) -> str:
     """Level by numbering depth, keyword or indentation."""
     indent = f"(length({t}) - length({d.replace(t, chr(94) + chr(92) + 's+', '')}))"
     return cases((d.like(t, r"^\s*\d+\.\d+\.\d+"), "3"), (d.like(t, r"^\s*\d+\.\d+"), "2"), (d.like(t, r"(?i)^\s*(chapter|part)\b"), "1"), (f"{indent} >= 8", "3"), (f"{indent} >= 4", "2"), otherwise="1")
+
+
+def spatial_relation(position: str) -> str:
+    """Order of an image and a text from the side the image lies on."""
+    return cases((f"{position} = 'above'", "'before'"), (f"{position} = 'below'", "'after'"), otherwise="'alongside'")
+
+
+def layout_complexity(tables: str, cover: str, reader: str) -> str:
+    """Tiers of a page's image coverage and tables: the detailed reader has four, the basic one three at lower bounds."""
+    if reader == "basic":
+        return cases((f"{cover} > 0.4", "'complex'"), (f"{cover} > 0.2 or {tables} > 0", "'moderate'"), otherwise="'simple'")
+    return cases((f"{tables} > 5 or {cover} > 0.7", "'very_complex'"), (f"{tables} > 2 or {cover} > 0.5", "'complex'"), (f"{tables} > 0 or {cover} > 0.3", "'moderate'"), otherwise="'simple'")
+
+
+def text_type(kind: str) -> str:
+    """The kind of chunking a block type asks for."""
+    return cases((f"{kind} in ('h1', 'h2', 'h3', 'heading')", "'heading'"), (f"{kind} in ('list_item', 'caption')", kind), (f"{kind} = 'table'", "'table_content'"), (f"{kind} in ('equation', 'math')", "'mathematical'"), otherwise="'paragraph'")
+
+
+# Words, batch multiplier and temperature of each content type.
+CONTENT_TYPES = {
+    "academic": (("abstract", "methodology", "conclusion", "hypothesis", "research"), 1.2, 0.05),
+    "technical": (("specification", "procedure", "configuration", "system", "manual"), 1.1, 0.1),
+    "legal": (("whereas", "hereby", "pursuant", "jurisdiction", "contract"), 0.8, 0.05),
+    "narrative": (("story", "character", "dialogue", "chapter", "narrative"), 1.3, 0.15),
+}
+
+
+def content_type(low: Column) -> Column:
+    """The type with most of its words in a lower-case text, the first of equals, with multiplier and temperature; general if none occurs."""
+    kind = lambda name, multiplier, temperature: F.struct(F.lit(name).alias("kind"), F.lit(multiplier).alias("multiplier"), F.lit(temperature).alias("temperature"))
+    scores = F.array(*[F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))) for words, *_ in CONTENT_TYPES.values()])
+    most = F.array_max(scores)
+    options = F.array(*[kind(name, m, t) for name, (_, m, t) in CONTENT_TYPES.items()])
+    return F.when(most == 0, kind("general", 1.0, 0.1)).otherwise(F.get(options, F.array_position(scores, most).cast("int") - 1))

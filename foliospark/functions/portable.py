@@ -25,8 +25,11 @@ class Dialect:
         return f"regexp_like({col}, {self.text(pattern)})" if self.spark else f"regexp_matches({col}, {self.text(pattern)})"
 
     def any_like(self, col: str, patterns: Sequence[str]) -> str:
-        """Whether one of several is found; one alternation, so the text is scanned once."""
-        return self.like(col, "|".join(f"(?:{p})" for p in patterns))
+        """Whether one of several is found; those bound to the start share one anchor, so that no engine tries them at every place."""
+        bound, free = [p[1:] for p in patterns if p.startswith("^")], [p for p in patterns if not p.startswith("^")]
+        tests = [self.like(col, "^(?:" + "|".join(f"(?:{p})" for p in bound) + ")")] if bound else []
+        tests += [self.like(col, "|".join(f"(?:{p})" for p in free))] if free else []
+        return tests[0] if len(tests) == 1 else f"({' or '.join(tests)})"
 
     def count(self, col: str, pattern: str) -> str:
         """Number of matches."""
@@ -56,13 +59,22 @@ class Dialect:
         return "cast(" + " + ".join(f"(case when {self.has(col, p)} then 1 else 0 end)" for p in parts) + " as bigint)"
 
     def strip(self, col: str) -> str:
-        return self.replace(col, r"^\s+|\s+$", "")
+        """Without ASCII white space at both ends."""
+        return f"btrim({col}, ' \\u0009\\u000a\\u000b\\u000c\\u000d')" if self.spark else f"trim({col}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
     def words(self, col: str) -> str:
         return self.count(col, r"\S+")
 
+    def words_from(self, col: str, number: int) -> str:
+        """Whether a text has at least so many words; reads no further than these."""
+        return self.like(col, rf"^\s*(?:\S+\s+){{{number - 1}}}\S")
+
+    def guarded(self, col: str, parts: Sequence[str], test: str) -> str:
+        """A costly test that needs one of the given characters, tried only where one occurs."""
+        return f"({self.any_of(col, parts)} and {test})"
+
     def letters(self, col: str) -> str:
-        return self.count(col, r"\p{L}")
+        return f"cast(length({col}) - length({self.replace(col, r'\p{L}+', '')}) as bigint)"
 
     def size(self, array: str) -> str:
         return f"cast(size({array}) as bigint)" if self.spark else f"cast(len({array}) as bigint)"

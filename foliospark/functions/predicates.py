@@ -36,20 +36,25 @@ CAPTION = (
 )
 CAPTION_WORDS = ("showing", "depicting", "illustrating", "displaying", "overview", "comparison", "analysis", "structure", "process", "workflow", "system", "model", "framework")
 TOC_LINE = (r"^\d+\.?\s+", r"chapter\s+\d+", r"\.{3,}", r"\d+$", r"^\w+\s+\d+$")
+BACKSLASH = chr(92)
 FORMULA_SIGNS = "[→←↑↓⇌≡≈∆∇∑∫∂]"
 
 
-def skip_content(d: Dialect, t: str) -> str:
-    """Boilerplate, code, texts under three characters, and texts with under 30 % letters are not worth translating."""
-    bare = d.strip(t)
-    return f"({d.any_like(f'lower({bare})', SKIP)} or {d.any_like(t, CODE_LINE)} or length({bare}) < 3 or (length({t}) > 0 and {d.double(d.letters(t))} / length({t}) < 0.3))"
+def skip_content(d: Dialect, t: str, bare: str | None = None, low: str | None = None) -> str:
+    """Boilerplate, code, texts under three characters, and texts with under 30 % letters are not worth translating.
+
+    ``bare`` and ``low`` name columns that already hold the stripped text and its lower case.
+    """
+    bare = bare or d.strip(t)
+    return f"({d.any_like(low or f'lower({bare})', SKIP)} or {d.any_like(t, CODE_LINE)} or length({bare}) < 3 or (length({t}) > 0 and {d.double(d.letters(t))} / length({t}) < 0.3))"
 
 
 def page_furniture(d: Dialect, t: str, y0: str, y1: str) -> str:
-    """Page numbers, running heads (upper band), running feet (lower band) and document metadata lines."""
+    """Page numbers, running heads (upper band: marked, or under 50 characters all in capitals), running feet (lower band) and document metadata lines."""
     bare = d.strip(t)
     low = f"lower({bare})"
-    head = f"({y0} / 792.0 > 0.9 and {d.any_like(low, HEADER_BAND)})"
+    capitals = f"(length({bare}) < 50 and {d.like(bare, '[' + BACKSLASH + 'p{Lu}]')} and not {d.like(bare, '[' + BACKSLASH + 'p{Ll}]')})"
+    head = f"({y0} / 792.0 > 0.9 and ({d.any_like(low, HEADER_BAND)} or {capitals}))"
     foot = f"({y1} / 792.0 < 0.1 and ({d.any_of(low, FOOTER_PARTS)} or length({bare}) < 30))"
     return f"(length({bare}) < 3 or {d.any_like(low, PAGE_FURNITURE)} or {head} or {foot} or {d.any_like(low, METADATA)})"
 
@@ -61,7 +66,7 @@ def page_number(d: Dialect, t: str) -> str:
 
 
 def processing_artifact(d: Dialect, t: str) -> str:
-    return d.like(t, "(?i)" + "|".join(ARTIFACT))
+    return d.guarded(t, ("[", BACKSLASH, "`"), d.like(t, "(?i)" + "|".join(ARTIFACT)))
 
 
 def markdown(d: Dialect, t: str) -> str:
@@ -74,8 +79,10 @@ def footnote(d: Dialect, t: str) -> str:
 
 
 def table_line(d: Dialect, t: str) -> str:
-    """At least two of: pipe, tab, wide gap."""
-    return f"({d.number_of(t, ('|', chr(9), '  +'))} >= 2)"
+    """Of one line, at least two of: pipe, tab, the literal mark of a wide gap; of several lines, at least two that hold one of them."""
+    marks = ("|", chr(9), "  +")
+    marked = d.size(d.keep(d.split(t, r"\n"), d.any_of("x", marks)))
+    return f"(case when {d.has(t, chr(10))} then {marked} >= 2 else {d.number_of(t, marks)} >= 2 end)"
 
 
 def formula_diagram(d: Dialect, t: str) -> str:
@@ -84,20 +91,24 @@ def formula_diagram(d: Dialect, t: str) -> str:
     return f"({d.count(t, FORMULA_SIGNS)} >= 2 or ({kinds}) >= 2)"
 
 
-def math_content(d: Dialect, t: str) -> str:
-    return f"({d.like(t, '(?i)' + '|'.join(MATH_ROUTE))} or {d.any_of(f'lower({t})', MATH_WORDS)})"
+def math_content(d: Dialect, t: str, low: str | None = None) -> str:
+    """Formulas, signs or words of mathematics; ``low`` names a column that holds the text's lower case."""
+    signs = [p for p in MATH_ROUTE if p.startswith("[")]
+    marked = d.guarded(t, ("$", BACKSLASH), d.like(t, "(?i)" + "|".join(p for p in MATH_ROUTE if p not in signs)))
+    return f"({marked} or {d.any_like(t, signs)} or {d.any_of(low or f'lower({t})', MATH_WORDS)})"
 
 
 def complex_table(d: Dialect, t: str) -> str:
-    return d.any_like(t, TABLE_ROUTE)
+    return d.guarded(t, ("|", BACKSLASH), d.any_like(t, TABLE_ROUTE))
 
 
 def equation(d: Dialect, t: str) -> str:
-    return d.any_like(t, EQUATION)
+    signs = [p for p in EQUATION if p.startswith("[")]
+    return f"({d.guarded(t, ('$', BACKSLASH), d.any_like(t, [p for p in EQUATION if p not in signs]))} or {d.any_like(t, signs)})"
 
 
 def code_block(d: Dialect, t: str) -> str:
-    return d.any_like(t, CODE_BLOCK)
+    return f"({d.has(t, '```')} or {d.any_like(t, [p for p in CODE_BLOCK if p != '```'])})"
 
 
 def diagram_words(d: Dialect, t: str) -> str:
@@ -111,7 +122,7 @@ def chart_words(d: Dialect, t: str) -> str:
 def likely_heading(d: Dialect, t: str) -> str:
     """At most eight words, and short title or upper case, a heading word, or a colon at the end."""
     shaped = d.like(d.strip(t), r"^(\p{Lu}[\p{Lu}\s]*|(\p{Lu}\p{Ll}*\s)*\p{Lu}\p{Ll}*)$")
-    return f"({d.words(t)} <= 8 and (({shaped} and {d.words(t)} <= 5) or {d.any_of(f'lower({t})', HEADING_WORDS)} or {d.like(t, ':' + chr(92) + 's*$')}))"
+    return f"(not {d.words_from(t, 9)} and (({shaped} and not {d.words_from(t, 6)}) or {d.any_of(f'lower({t})', HEADING_WORDS)} or {d.like(t, ':' + chr(92) + 's*$')}))"
 
 
 def heading_pattern(d: Dialect, t: str) -> str:
@@ -123,7 +134,7 @@ def section_start(d: Dialect, t: str) -> str:
 
 
 def caption_mark(d: Dialect, t: str) -> str:
-    return d.any_like(f"lower({d.strip(t)})", CAPTION_MARKS)
+    return d.like(d.strip(t), "(?i)^(?:" + "|".join(f"(?:{p[1:]})" for p in CAPTION_MARKS) + ")")
 
 
 def likely_caption(d: Dialect, t: str) -> str:
@@ -137,7 +148,7 @@ def likely_caption(d: Dialect, t: str) -> str:
 
 
 def list_item(d: Dialect, t: str) -> str:
-    return d.like(t, "(?i)" + "|".join(f"(?:{p})" for p in LIST_ITEM))
+    return d.like(t, "(?i)^(?:" + "|".join(f"(?:{p[1:]})" for p in LIST_ITEM) + ")")
 
 
 def list_mark(d: Dialect, t: str) -> str:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from foliospark.functions.portable import SPARK
+from foliospark.functions.predicates import toc_line
+
 #: Fixed value: what stands between the items of a group.
 SEPARATOR = 18
 
@@ -15,34 +18,41 @@ def _doc() -> WindowSpec:
     return Window.partitionBy("doc_id").orderBy("seq")
 
 
-def _fold(df: DataFrame, step: str, start: str, out: str) -> DataFrame:
-    """Run a sequential fold over each document's sorted items; every item gets the state after it.
+def _fold(df: DataFrame, cut: str, size: str, out: str) -> DataFrame:
+    """Group numbers by a fold over each document's sorted items.
 
-    The step sees the state ``s`` and an item ``i`` (seq, n, page, kind); documents bound the arrays.
+    The fold emits only the places where a group begins, so its state grows with the groups and not with the items. ``cut``
+    tells whether an item ``i`` (seq, n, page_num, block_type, toc) begins a new group after state ``s`` (k items of size z, page p, type t),
+    ``size`` what the item adds. A document bounds the arrays.
     """
-    packed = df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "page_num", "block_type"))).alias("items"))
-    fold = f"aggregate(items, named_struct('g', 0L, 'k', 0L, 'z', 0L, 'p', cast(null as bigint), 't', cast(null as string), 'o', cast(array() as array<struct<seq:bigint,g:bigint>>)), (s, i) -> {step}, s -> s.o)"
-    return packed.select("doc_id", F.explode(F.expr(fold)).alias("r")).select("doc_id", F.col("r.seq").alias("seq"), F.col("r.g").alias(out))
+    packed = df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "page_num", "block_type", "toc"))).alias("items"))
+    begun = f"named_struct('at', s.at + 1, 'k', 1L, 'z', {size}, 'p', i.page_num, 't', i.block_type, 'b', concat(s.b, array(s.at)))"
+    grown = f"named_struct('at', s.at + 1, 'k', s.k + 1, 'z', s.z + {size}, 'p', i.page_num, 't', i.block_type, 'b', s.b)"
+    start = "named_struct('at', 0, 'k', 0L, 'z', 0L, 'p', cast(null as bigint), 't', cast(null as string), 'b', array(0))"
+    ends = packed.select("doc_id", "items", F.expr(f"aggregate(items, {start}, (s, i) -> if(s.k > 0 and ({cut}), {begun}, {grown}), s -> concat(s.b, array(s.at)))").alias("b"))
+    groups = ends.select("doc_id", F.posexplode(F.expr("transform(sequence(0, size(b) - 2), g -> slice(items.seq, b[g] + 1, b[g + 1] - b[g]))")).alias("g", "members"))
+    inside = groups.select("doc_id", "g", F.explode("members").alias("seq"))
+    return inside.select("doc_id", "seq", F.col("g").cast("long").alias(out))
 
 
 def smart_groups(lines: DataFrame, max_items: int = 8, max_size: int = 12000) -> DataFrame:
-    """Group consecutive lines: a new group at ``max_items``, above the size limit (1.5 times on the first ten pages), at headings' ends, and at a new page above five (later three) items."""
-    items = lines.withColumn("n", F.length("text").cast("long"))
+    """Group consecutive lines.
+
+    A new group begins at ``max_items``, above the size limit (1.5 times that on the first ten pages and for lines of a table of
+    contents), at headings' ends (on the first ten pages at images and tables), and at a new page above five (later three) items.
+    """
+    items = lines.withColumn("n", F.length("text").cast("long")).withColumn("toc", F.expr(toc_line(SPARK, "text")))
     early = "i.page_num <= 10"
-    full = f"s.z + i.n > if({early}, {min(int(max_size * 1.5), 18000)}L, {max_size}L)"
+    full = f"s.z + i.n > if({early} or i.toc, {min(int(max_size * 1.5), 18000)}L, {max_size}L)"
     kind = f"if({early}, s.t in ('image', 'table') or i.block_type in ('image', 'table'), s.t in ('h1', 'h2', 'h3') and i.block_type not in ('h1', 'h2', 'h3'))"
     page = f"(s.k > if({early}, 5, 3) and s.p <> i.page_num)"
-    cut = f"(s.k > 0 and (s.k >= {max_items} or {full} or {kind} or {page}))"
-    step = f"named_struct('g', if({cut}, s.g + 1, s.g), 'k', if({cut}, 1L, s.k + 1), 'z', if({cut}, 0L, s.z) + i.n + {SEPARATOR}, 'p', i.page_num, 't', i.block_type, 'o', concat(s.o, array(named_struct('seq', i.seq, 'g', if({cut}, s.g + 1, s.g)))))"
-    return _fold(items, step, "", "group_id")
+    return _fold(items, f"s.k >= {max_items} or {full} or {kind} or {page}", f"i.n + {SEPARATOR}", "group_id")
 
 
 def batches(lines: DataFrame, limit: int = 15000) -> DataFrame:
     """Next-fit batches: a new one when the next line would pass the limit."""
-    items = lines.withColumn("n", F.length("text").cast("long"))
-    cut = f"(s.k > 0 and s.z + i.n > {limit})"
-    step = f"named_struct('g', if({cut}, s.g + 1, s.g), 'k', if({cut}, 1L, s.k + 1), 'z', if({cut}, 0L, s.z) + i.n, 'p', s.p, 't', s.t, 'o', concat(s.o, array(named_struct('seq', i.seq, 'g', if({cut}, s.g + 1, s.g)))))"
-    return _fold(items, step, "", "batch_id")
+    items = lines.withColumn("n", F.length("text").cast("long")).withColumn("toc", F.lit(False))
+    return _fold(items, f"s.z + i.n > {limit}", "i.n", "batch_id")
 
 
 def neighbour_context(lines: DataFrame) -> DataFrame:
@@ -103,3 +113,33 @@ def fill_pages(lines: DataFrame, known: Column) -> DataFrame:
     part = Window.partitionBy("doc_id", "run").orderBy("seq")
     base = F.first("known").over(part)
     return rows.select("doc_id", "seq", F.coalesce(base + F.row_number().over(part) - 1, F.row_number().over(_doc()).cast("long")).cast("long").alias("page"))
+
+
+def ordered_text(column: str, sep: str) -> Column:
+    """A group's texts as one, in order of seq; null ones are left out."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", column))), lambda x: x[column]), sep)
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Rows with their place in the document, by the given order (seq if none)."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy("doc_id").orderBy(*(order or (F.col("seq"),)))).cast("long"))
+
+
+def zip_by_place(slots: DataFrame, results: DataFrame) -> DataFrame:
+    """Results (doc_id, place, ...) put into a document's slots by place; a key join, so a missing result shifts nothing."""
+    return numbered(slots, "place").join(results, ["doc_id", "place"], "left")
+
+
+def chunk_context(docs: DataFrame, size: int = 4, width: int = 200) -> DataFrame:
+    """Chunks of ``size`` sentences with up to two sentences, ``width`` characters, before and after each."""
+    starts = docs.where(F.size("sentences") > 0).select("doc_id", "sentences", F.explode(F.expr(f"sequence(0, size(sentences) - 1, {size})")).alias("at"))
+    before = F.expr(f"if(at = 0, '', right(array_join(slice(sentences, greatest(at - 1, 1), least(2, greatest(at, 1))), ' '), {width}))")
+    after = F.expr(f"left(array_join(slice(sentences, at + {size} + 1, 2), ' '), {width})")
+    return starts.select("doc_id", F.expr(f"cast(at div {size} as bigint)").alias("chunk"), before.alias("before"), after.alias("after"))
+
+
+def longest_first(text: Column, terms: list[tuple[str, str]]) -> Column:
+    """A text with each term of a small glossary replaced, longest term first, ties by the term."""
+    for term, by in sorted(terms, key=lambda t: (-len(t[0]), t[0])):
+        text = F.replace(text, F.lit(term), F.lit(by))
+    return text

@@ -29,7 +29,7 @@ def _add(name: str, sql: str) -> Callable[[Build], Build]:
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return T.read(s, d, "documents")
+    return T.spread(T.read(s, d, "documents"), "doc_id")
 
 
 def _lines(s: SparkSession, d: str) -> DataFrame:

@@ -28,7 +28,7 @@ def _add(name: str, sql: str) -> Callable[[Build], Build]:
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return T.read(s, d, "documents")
+    return T.spread(T.read(s, d, "documents"), "doc_id")
 
 
 def _lines(s: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,7 @@ def _spans(s: SparkSession, d: str) -> DataFrame:
 
 
 _LINES, _BOXES, _SPANS = f"WITH {T.LINES_SQL}", f"WITH {T.BOXES_SQL}", f"WITH {T.SPANS_SQL}"
-_TOOL = C.routing_tool(SPARK, "text", "importance")
+_TOOL = C.routing_tool(SPARK, "text", "importance", "low")
 _TOOL_SQL = C.routing_tool(CHECK, "text", "importance")
 # Cost for 1,000 characters or an item of each tool, in units of a hundred-thousandth.
 _RATE = "case tool when 'fast' then 15 when 'strong' then 150 when 'markup' then 100 else 0 end"
@@ -54,7 +54,7 @@ _RATE = "case tool when 'fast' then 15 when 'strong' then 150 when 'markup' then
 SELECT doc_id, tool, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS chars, CAST(sum(n * {_RATE}) AS BIGINT) AS cost_units FROM r GROUP BY doc_id, tool""")
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Block profile and routing cost of each document."""
-    rows = _lines(s, d).select("doc_id", "text", F.expr(C.importance(SPARK, "text", "block_type", "page_num")).alias("importance"))
+    rows = T.weighed(_lines(s, d))
     routed = rows.select("doc_id", F.length("text").cast("long").alias("n"), F.expr(_TOOL).alias("tool"))
     return routed.groupBy("doc_id", "tool").agg(F.count("*").alias("blocks"), F.sum("n").alias("chars"), F.sum(F.expr(f"n * {_RATE}")).alias("cost_units"))
 
@@ -314,13 +314,13 @@ def _a08(s, d):
 @_add("a09_routing_groups", f"WITH t(tool) AS (VALUES ('fast'), ('strong'), ('markup'), ('image'), ('skip')), {T.LINES_SQL}, i AS (SELECT text, {C.importance(CHECK, 'text', 'block_type', 'page_num')} AS importance FROM lines), r AS (SELECT {_TOOL_SQL} AS tool, count(*) AS n FROM i GROUP BY 1) SELECT t.tool, coalesce(r.n, 0) AS items FROM t LEFT JOIN r ON t.tool = r.tool")
 def _a09(s, d):
     tools = s.createDataFrame([(x,) for x in ("fast", "strong", "markup", "image", "skip")], "tool string")
-    rows = _lines(s, d).select("text", F.expr(C.importance(SPARK, "text", "block_type", "page_num")).alias("importance")).groupBy(F.expr(_TOOL).alias("tool")).agg(F.count("*").alias("n"))
+    rows = T.weighed(_lines(s, d)).groupBy(F.expr(_TOOL).alias("tool")).agg(F.count("*").alias("n"))
     return tools.join(rows, "tool", "left").select("tool", F.coalesce("n", F.lit(0)).alias("items"))
 
 
 @_add("a10_strategy_stats", f"{_LINES} SELECT {C.importance(CHECK, 'text', 'block_type', 'page_num')} AS importance, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM lines GROUP BY 1")
 def _a10(s, d):
-    return _lines(s, d).groupBy(F.expr(C.importance(SPARK, "text", "block_type", "page_num")).alias("importance")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return T.weighed(_lines(s, d)).groupBy("importance").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @_add("a11_call_estimate", "SELECT source, greatest(1, CAST(sum(length(text)) AS BIGINT) // 12000) AS grouped_calls, CAST(sum(length(text)) AS BIGINT) // 500 AS single_calls, greatest(1, CAST(sum(length(text)) AS BIGINT) // 12000) * 3 / 60 AS minutes FROM documents GROUP BY source")
@@ -455,10 +455,15 @@ def _w09(s, d):
     return L.multi_column_order(_boxes(s, d))
 
 
-@_add("w11_smart_groups", f"""WITH RECURSIVE {T.LINES_SQL}, i AS (SELECT doc_id, seq, page_num AS p, block_type AS t, length(text) AS n FROM lines),
+# A line of a table of contents, written for the checking engine alone.
+_BARE_SQL = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_TOC_SQL = f"(regexp_matches({_BARE_SQL}, '(?i)(^[0-9]+[.]?\\s+|chapter\\s+[0-9]+|[.]{{3,}}|[0-9]+$|^\\w+\\s+[0-9]+$)') OR (length({_BARE_SQL}) < 100 AND regexp_matches(text, '[0-9]')))"
+
+
+@_add("w11_smart_groups", f"""WITH RECURSIVE {T.LINES_SQL}, i AS (SELECT doc_id, seq, page_num AS p, block_type AS t, length(text) AS n, {_TOC_SQL} AS toc FROM lines),
 f(doc_id, seq, g, k, z, p, t) AS (SELECT doc_id, seq, 0, 1, n + 18, p, t FROM i WHERE seq = 0 UNION ALL
 SELECT i.doc_id, i.seq, f.g + c, CASE c WHEN 1 THEN 1 ELSE f.k + 1 END, CASE c WHEN 1 THEN 0 ELSE f.z END + i.n + 18, i.p, i.t FROM f JOIN i ON i.doc_id = f.doc_id AND i.seq = f.seq + 1,
-LATERAL (SELECT CAST(f.k >= 8 OR f.z + i.n > CASE WHEN i.p <= 10 THEN 18000 ELSE 12000 END OR CASE WHEN i.p <= 10 THEN f.t IN ('image','table') OR i.t IN ('image','table') ELSE f.t IN ('h1','h2','h3') AND i.t NOT IN ('h1','h2','h3') END OR (f.k > CASE WHEN i.p <= 10 THEN 5 ELSE 3 END AND f.p <> i.p) AS INT) AS c))
+LATERAL (SELECT CAST(f.k >= 8 OR f.z + i.n > CASE WHEN i.p <= 10 OR i.toc THEN 18000 ELSE 12000 END OR CASE WHEN i.p <= 10 THEN f.t IN ('image','table') OR i.t IN ('image','table') ELSE f.t IN ('h1','h2','h3') AND i.t NOT IN ('h1','h2','h3') END OR (f.k > CASE WHEN i.p <= 10 THEN 5 ELSE 3 END AND f.p <> i.p) AS INT) AS c))
 SELECT doc_id, seq, CAST(g AS BIGINT) AS group_id FROM f""")
 def _w11(s, d):
     return G.smart_groups(_lines(s, d))

@@ -46,13 +46,13 @@ LINES: dict[str, Columns] = {
     "p31_pure_markdown_syntax": _flags(pure=P.markdown_syntax_only),
     "p32_equation_area": lambda d: {"confidence": f"cast(case when {d.like('text', P.EQUATION[4])} then 0.8 when {d.any_like('text', P.EQUATION[:4])} then 0.6 else 0 end as double)"},
     "p33_translated_copy": lambda d: {"original_text": "text", "content": "concat('[xx] ', text)", "block_id": S.block_id(d, "block_type", "page_num", "text")},
-    "c01_importance": lambda d: {"importance": C.importance(d, "text", "block_type", "page_num")},
+    "c01_importance": lambda d: {"importance": _importance(d)},
     "c02_strategy": lambda d: (lambda i: {
         "importance": i, "should_translate": f"{i} <> 'skip'", "model": f"case {i} when 'high' then 'strong' when 'skip' then null else 'fast' end",
         "temperature": f"cast(case {i} when 'high' then greatest(0.05, 0.1 - 0.02) when 'low' then least(0.3, 0.1 + 0.05) when 'medium' then 0.1 else null end as double)",
         "prompt_style": f"case {i} when 'high' then 'detailed' when 'medium' then 'standard' when 'low' then 'simple' else null end", "batch_priority": _int(f"case {i} when 'high' then 1 when 'medium' then 2 when 'low' then 3 else null end"), "quality_check": f"{i} = 'high'",
-    })(C.importance(d, "text", "block_type", "page_num")),
-    "c03_tool_routing": lambda d: {"tool": C.routing_tool(d, "text", C.importance(d, "text", "block_type", "page_num"))},
+    })(_importance(d)),
+    "c03_tool_routing": lambda d: {"tool": C.routing_tool(d, "text", _importance(d), "low" if d.spark else None)},
     "c06_block_factory": lambda d: {"block": "block_type", "level": _int("case block_type when 'h1' then 1 when 'h2' then 2 when 'h3' then 3 else null end")},
     "c09_text_block_type": lambda d: {"kind": C.text_block_type(d, "text")},
     "c20_markup_visual_type": lambda d: {"visual_type": C.markup_visual_type(d, "text")},
@@ -93,9 +93,18 @@ DOCUMENTS: dict[str, Columns] = {
 }
 
 
-def _line_query(columns: Columns) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+#: Queries of lines whose importance is computed once, as a column.
+WEIGHED = ("c01_importance", "c02_strategy", "c03_tool_routing")
+
+
+def _importance(d: Dialect) -> str:
+    return "importance" if d.spark else C.importance(d, "text", "block_type", "page_num")
+
+
+def _line_query(columns: Columns, weighed: bool = False) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = T.lines(T.read(spark, sf_dir, "documents"))
+        rows = T.lines(T.spread(T.read(spark, sf_dir, "documents"), "doc_id"))
+        rows = T.weighed(rows) if weighed else rows
         return rows.select("doc_id", "seq", *[F.expr(sql).alias(name) for name, sql in columns(SPARK).items()])
 
     cols = ", ".join(f"{sql} AS {name}" for name, sql in columns(CHECK).items())
@@ -104,11 +113,11 @@ def _line_query(columns: Columns) -> tuple[Callable[[SparkSession, str], DataFra
 
 def _document_query(columns: Columns) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = T.read(spark, sf_dir, "documents")
+        rows = T.spread(T.read(spark, sf_dir, "documents"), "doc_id")
         return rows.select("doc_id", *[F.expr(sql).alias(name) for name, sql in columns(SPARK).items()])
 
     cols = ", ".join(f"{sql} AS {name}" for name, sql in columns(CHECK).items())
     return build, f"SELECT doc_id, {cols} FROM documents"
 
 
-CATALOG = {name: _line_query(c) for name, c in LINES.items()} | {name: _document_query(c) for name, c in DOCUMENTS.items()}
+CATALOG = {name: _line_query(c, name in WEIGHED) for name, c in LINES.items()} | {name: _document_query(c) for name, c in DOCUMENTS.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import classify as C
@@ -17,6 +17,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal a table of fewer splits than cores over all cores by its keys, which later groupings by them reuse.
+
+    A row group can't be split, so a small table of one would keep all work on one core; tables of enough splits stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def read_json_cache(spark: SparkSession, path: str) -> DataFrame:
     """A cache of one JSON object, key to text or to an entry, as rows; legacy text entries get the language ``unknown``."""
     raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("cache_key", "entry"))
@@ -63,6 +72,12 @@ def lines(docs: DataFrame) -> DataFrame:
     return numbered.withColumn("block_type", F.expr(C.block_type(SPARK, "text")))
 
 
+def weighed(rows: DataFrame) -> DataFrame:
+    """Lines with ``bare`` (stripped), ``low`` (its lower case) and ``importance``, each computed once."""
+    marked = rows.withColumn("bare", F.expr(SPARK.strip("text"))).withColumn("low", F.lower("bare"))
+    return marked.withColumn("importance", F.expr(C.importance(SPARK, "text", "block_type", "page_num", "bare", "low")))
+
+
 LINES_SQL = f"""cut AS (SELECT doc_id, lang, source, unnest(str_split(text, chr(10))) AS text, unnest(range(len(str_split(text, chr(10))))) AS seq FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT doc_id, lang, source, seq, CAST(seq // {PAGE_LINES} + 1 AS BIGINT) AS page_num, text, {C.block_type(CHECK, "text")} AS block_type FROM cut)"""
 
@@ -88,3 +103,51 @@ def spans(events: DataFrame) -> DataFrame:
 
 
 SPANS_SQL = "spans AS (SELECT user_id AS trace_id, event_id AS span_id, event_type AS operation, ts AS started, value AS duration_ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS found FROM events)"
+
+
+def embedding_cache(entries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Cache entries (cache_key, ...) with their vectors (cache_key, embedding); entries without a vector are dropped."""
+    return entries.join(vectors.select("cache_key", "embedding"), "cache_key")
+
+
+def write_embedding_cache(entries: DataFrame, vectors: DataFrame, path: str) -> None:
+    """Entries and vectors as one Parquet table; nothing is pickled."""
+    embedding_cache(entries, vectors).write.mode("overwrite").parquet(path)
+
+
+def read_embedding_cache(spark: SparkSession, path: str) -> DataFrame:
+    """A written embedding cache; rows whose vector is null are dropped as on writing."""
+    return spark.read.parquet(path).where(F.col("embedding").isNotNull())
+
+
+def quarantined(failed: DataFrame, most: int, batch_pages: int) -> DataFrame:
+    """Failures (file, batch, error), one row each, as dead letters of the batches with ``most`` or more."""
+    counted = failed.groupBy("file", "batch").agg(F.count("*").alias("failures"), F.max("error").alias("error")).where(F.col("failures") >= most)
+    start = F.col("batch") * batch_pages
+    return counted.select("file", "batch", "failures", start.alias("start_page"), (start + batch_pages - 1).alias("end_page"), "error", F.concat("file", F.lit("_batch_"), "batch", F.lit("_quarantine.json")).alias("name"))
+
+
+def write_quarantine(letters: DataFrame, path: str) -> None:
+    """Dead letters as JSON lines."""
+    letters.write.mode("append").json(path)
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """All dead letters of a folder."""
+    return spark.read.schema("file long, batch long, failures long, start_page long, end_page long, error string, name string").json(path)
+
+
+def with_heuristics(detections: DataFrame, images: DataFrame) -> DataFrame:
+    """Detections (doc_id, page, seq, label, confidence); images of documents without any count as figures of confidence 0.8."""
+    columns = ["doc_id", "page", "seq", "label", "confidence"]
+    missed = images.join(detections.select("doc_id").distinct(), "doc_id", "left_anti")
+    stand_in = missed.select("doc_id", "page", "seq", F.lit("figure").alias("label"), F.lit(0.8).alias("confidence"), F.lit("heuristic").alias("method"))
+    return detections.select(*columns, F.lit("model").alias("method")).unionByName(stand_in)
+
+
+def output_folder(path: Column, root: str, most: int = 100) -> Column:
+    """The output folder of an input path: its file name without extension, refused characters to _, runs of - and _ closed up, edges trimmed."""
+    stem = F.regexp_extract(F.regexp_extract(path, r"([^/]*)$", 1), r"^(.*?)(\.[^.]*)?$", 1)
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(stem, r'[<>:"/\\|?*+]', "_"), r"-{2,}", "-"), r"_{2,}", "_")
+    clean = F.btrim(clean, F.lit(" ._-"))
+    return F.concat(F.lit(root), F.when(clean == "", "sanitized_document").otherwise(F.left(clean, F.lit(most))))
