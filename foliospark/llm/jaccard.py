@@ -14,13 +14,15 @@ from foliospark.llm.common import checkpoint, only, shuffle_partitions, sized
 from foliospark.llm.components import connected_components
 
 #: Documents, and tokens on average, that one exact search takes; larger candidate groups are searched as pairs of blocks.
-BLOCK, BLOCK_TOKENS = 1_200, 1_500_000
+BLOCK, BLOCK_TOKENS = 400, 1_500_000
 #: Tokens of one shuffled bucket, and those that a task holds before it sends them on.
 BUCKET_TOKENS, FLUSH_TOKENS = 1_000_000, 1_500_000
 #: Bytes of text hashed at once.
 CHUNK = 2 << 20
 #: Of a prefix, the share of tokens beyond the one that must meet which a document must have in common with others.
 EXTRA = 0.15
+#: A token is hot if this share of all sets, and so many sets of a task, hold it; there are at most 1 / HOT_SHARE times as many as a set has tokens.
+HOT_SHARE, HOT_LEAST = 0.005, 50
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -103,13 +105,47 @@ def prefix_lengths(n: int, num: int, den: int) -> tuple[int, int]:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Size and id of each text's set; rows of a negative size name a token that so many different sets of the task hold."""
+    seen: set[int] = set()
+    sets: list[np.ndarray] = []
+    held = 0
+
+    def heavy() -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, _U), np.zeros(0, np.int64))
+        often = counts >= max(HOT_LEAST, HOT_SHARE * len(sets))
+        return _profile_rows(pa.nulls(int(often.sum()), pa.int64()), (-counts[often]).tolist(), tokens[often].view(np.int64).tolist())
+
     for batch in batches:
         sizes, ids = [], []
         for text in batch.column(1):
             x = shingle_set(text.as_py(), words)
             sizes.append(len(x))
             ids.append(_set_id(x) if len(x) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "n", "cls"])
+            if len(x) and ids[-1] not in seen:
+                seen.add(ids[-1])
+                sets.append(x)
+                held += len(x)
+                if held > FLUSH_TOKENS:
+                    yield heavy()
+                    seen, sets, held = set(), [], 0
+        yield _profile_rows(batch.column(0), sizes, ids)
+    yield heavy()
+
+
+def _profile_rows(doc_id: pa.Array, sizes: list[int], ids: list[int | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "n", "cls"])
+
+
+def hot_tokens(profiles: DataFrame) -> np.ndarray:
+    """Tokens (sorted) that a share of all sets hold, with the sets counted, as two columns.
+
+    A token that a task's heavy hitters name is held by two sets or more. The numbers need not be exact: they only put hot tokens
+    behind all others in the order of rarity, in the same way for all sets.
+    """
+    total = profiles.where("n > 0").agg(F.approx_count_distinct("cls")).first()[0]
+    found = profiles.where("n < 0").groupBy("cls").agg(F.sum(-F.col("n")).alias("sets")).where(F.col("sets") >= HOT_SHARE * total)
+    rows = sorted((int(np.int64(r.cls).view(np.uint64)), r.sets) for r in found.collect())
+    return np.array(rows, np.uint64).reshape(-1, 2)
 
 
 _BUCKETS = pa.schema([("bucket", pa.int32()), ("cls", pa.binary()), ("size", pa.binary()), ("run", pa.binary()), ("tok", pa.binary()), ("df", pa.binary())])
@@ -133,13 +169,27 @@ def _packed(bucket: np.ndarray, cls: np.ndarray, size: np.ndarray, tok: np.ndarr
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, _BUCKETS, strict=True)], schema=_BUCKETS)
 
 
-def _by_token(cls: list[int], sets: list[np.ndarray], sizes: list[int], buckets: int) -> Iterator[pa.RecordBatch]:
+def _is_hot(tok: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Place of each token among the hot ones, or -1."""
+    if not len(hot):
+        return np.full(len(tok), -1)
+    at = np.minimum(np.searchsorted(hot[:, 0], tok), len(hot) - 1)
+    return np.where(hot[at, 0] == tok, at, -1)
+
+
+def _by_token(cls: list[int], sets: list[np.ndarray], sizes: list[int], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Tokens by token bucket. Hot ones need not meet: they go by class, to buckets of negative number, with their count."""
     tok, counts = np.concatenate(sets), np.array([len(s) for s in sets])
-    bucket = (tok % _U(buckets)).astype(np.int64)
-    yield from _packed(bucket, np.repeat(np.array(cls, np.int64), counts), np.repeat(np.array(sizes, np.int64), counts), tok).to_batches()
+    cls_of, size_of = np.repeat(np.array(cls, np.int64), counts), np.repeat(np.array(sizes, np.int64), counts)
+    at = _is_hot(tok, hot)
+    cold, warm = at < 0, at >= 0
+    yield from _packed((tok[cold] % _U(buckets)).astype(np.int64), cls_of[cold], size_of[cold], tok[cold]).to_batches()
+    if warm.any():
+        number = np.minimum(hot[at[warm], 1], _U(2**31 - 1)).astype(np.int32)
+        yield from _packed(-1 - (cls_of[warm].view(_U) % _U(buckets)).astype(np.int64), cls_of[warm], size_of[warm], tok[warm], number).to_batches()
 
 
-def _sent(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, buckets: int, whole: bool) -> Iterator[pa.RecordBatch]:
+def _sent(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, buckets: int, whole: bool, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Whole sets or their extended prefixes by token bucket, once for each distinct set of the task."""
     seen: set[int] = set()
     cls, sets, sizes, held = [], [], [], 0
@@ -159,10 +209,10 @@ def _sent(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, buc
             sets.append(x[:take])
             held += take
             if held > FLUSH_TOKENS:
-                yield from _by_token(cls, sets, sizes, buckets)
+                yield from _by_token(cls, sets, sizes, buckets, hot)
                 cls, sets, sizes, held = [], [], [], 0
     if cls:
-        yield from _by_token(cls, sets, sizes, buckets)
+        yield from _by_token(cls, sets, sizes, buckets, hot)
 
 
 def _flat(table: pa.Table, name: str, kind: type) -> np.ndarray:
@@ -188,13 +238,28 @@ def _gather(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return tok[shared], cls[shared], size[shared], df[shared]
 
 
+def _hot_bucket(table: pa.Table) -> bool:
+    return table.column("bucket")[0].as_py() < 0
+
+
+def _classes_of(table: pa.Table) -> np.ndarray:
+    """The class of each token of packed rows, every token of a class once."""
+    cls, tok = np.repeat(_flat(table, "cls", np.int64), _flat(table, "run", np.int32)), _flat(table, "tok", _U)
+    order = np.lexsort((tok, cls))
+    cls, tok = cls[order], tok[order]
+    return cls[np.r_[True, (cls[1:] != cls[:-1]) | (tok[1:] != tok[:-1])]] if len(cls) else cls
+
+
 def _shared_counts(table: pa.Table) -> pa.Table:
-    ids, counts = np.unique(_gather(table)[1], return_counts=True)
+    """How many tokens of each class others have too, by this bucket."""
+    ids, counts = np.unique(_classes_of(table) if _hot_bucket(table) else _gather(table)[1], return_counts=True)
     return pa.table({"cls": pa.array(ids, pa.int64()), "met": pa.array(counts, pa.int64())})
 
 
 def _weighed(table: pa.Table, buckets: int) -> pa.Table:
     """The shared tokens of one token bucket with their numbers of classes, by class bucket."""
+    if _hot_bucket(table):
+        return table.set_column(0, "bucket", pa.array(-1 - table.column("bucket").to_numpy(), pa.int32()))
     tok, cls, size, df = _gather(table)
     order = np.lexsort((tok, cls))
     tok, cls, size, df = tok[order], cls[order], size[order], df[order]
@@ -212,6 +277,9 @@ def _rare_prefixes(table: pa.Table, num: int, den: int, buckets: int) -> pa.Tabl
     cls, size = np.repeat(_flat(table, "cls", np.int64), run), np.repeat(_flat(table, "size", np.int64), run)
     order = np.lexsort((tok, df, cls))
     tok, cls, size = tok[order], cls[order], size[order]
+    if len(cls):
+        fresh = np.r_[True, (cls[1:] != cls[:-1]) | (tok[1:] != tok[:-1])]
+        tok, cls, size = tok[fresh], cls[fresh], size[fresh]
     first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]]) if len(cls) else np.zeros(0, np.int64)
     shared = np.diff(np.r_[first, len(cls)])
     place = np.arange(len(cls)) - np.repeat(first, shared)
@@ -339,26 +407,28 @@ def _tokens(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
 
 
 def set_classes(docs: DataFrame, words: int) -> DataFrame:
-    """Rows (doc_id, n, cls): size of the shingle set and its id; cls is null for empty sets."""
+    """Rows (doc_id, n, cls): size of the shingle set and its id; cls is null for empty sets. Rows of negative n are heavy tokens."""
     return only(docs, "doc_id", "text").mapInArrow(lambda it: _profiles(it, words), "doc_id long, n long, cls long")
 
 
-def class_links(docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Spanning edges (u, v) of all links between different shingle sets.
+def class_links(docs: DataFrame, classes: DataFrame, words: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
+    """Edges (u, v) that connect exactly what links between different shingle sets connect.
 
     ``classes`` has one row (cls, n, rep) for each distinct set. A set can only link with sets of which it shares
     T = num/den of its tokens, so most sets are ruled out by counting. First only the tokens with the smallest hashes of
     each set travel, packed by bucket: of two linked sets' extended prefixes at least the number that
     :func:`prefix_lengths` gives for the smaller one meet. Of the sets left whole sets travel, and those that share
     fewer than T tokens with all others together go. What is left is ordered by rarity, and sets that share a
-    token of their n - T + 1 rarest are joined to candidate groups, by spanning edges only. Each group's sets then
-    meet once for the exact search; a group of over ``BLOCK`` sets meets in pairs of blocks.
+    token of their n - T + 1 rarest are joined to candidate groups, by spanning edges only. ``hot`` tokens are known to be
+    shared and are never gathered in one place. Each group's sets then meet once for the exact search. A group of over ``BLOCK`` sets is
+    searched block by block, then by one set of each piece that this leaves; only groups still in several pieces meet in
+    pairs of blocks.
     """
     parts = shuffle_partitions(docs.sparkSession)
 
     def dealt(source: DataFrame, whole: bool, tokens: float) -> tuple[DataFrame, int]:
         buckets = max(parts, int(tokens / BUCKET_TOKENS))
-        return source.mapInArrow(lambda it: _sent(it, words, num, den, buckets, whole), _BUCKET_SQL), buckets
+        return source.mapInArrow(lambda it: _sent(it, words, num, den, buckets, whole, hot), _BUCKET_SQL), buckets
 
     narrow = only(docs, "doc_id", "text")
     total = classes.agg(F.sum("n")).first()[0] or 0
@@ -377,14 +447,38 @@ def class_links(docs: DataFrame, classes: DataFrame, words: int, num: int, den:
     groups = groups.join(alive, groups.node == alive.cls).select("cls", "n", "doc_id", "component")
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("tokens_in"))
     placed = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("tokens_in") / BLOCK_TOKENS)).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    placed = checkpoint(placed)
-    near = _texts_of(narrow, placed)
-    sets = near.mapInArrow(lambda it: _tokens(it, words), "doc_id long, cls long, tokens binary").withColumnsRenamed({"doc_id": "of_doc", "cls": "of_cls"})
-    full = sets.join(sized(placed), (F.col("of_cls") == F.col("cls")) & F.col("of_doc").eqNullSafe(F.col("doc_id")))
+    placed = checkpoint(placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")))
+
+    def searched(sets: DataFrame) -> DataFrame:
+        """Links among the sets (cls, n, doc_id, component, i, j, block) of each pair of blocks."""
+        near = _texts_of(narrow, sets)
+        made = near.mapInArrow(lambda it: _tokens(it, words), "doc_id long, cls long, tokens binary").withColumnsRenamed({"doc_id": "of_doc", "cls": "of_cls"})
+        full = made.join(sized(sets), (F.col("of_cls") == F.col("cls")) & F.col("of_doc").eqNullSafe(F.col("doc_id")))
+        return full.select("component", "cls", "block", "tokens", "i", "j").groupBy("component", "i", "j").applyInArrow(lambda t: _exact(t, words, num, den), "u long, v long")
+
+    columns = ("cls", "n", "doc_id", "component", "block")
+    inside = searched(placed.select(*columns, F.col("block").alias("i"), F.col("block").alias("j")))
+    if placed.where("blocks > 1").isEmpty():
+        return inside
+    inside = checkpoint(inside)
+    large = placed.where("blocks > 1")
+    pieces = checkpoint(_with_pieces(large, inside))
+    few = pieces.groupBy("component").agg(F.countDistinct("piece").alias("pieces")).where(F.col("pieces").between(2, BLOCK)).select("component")
+    stand_in = pieces.where("piece = cls").join(few, "component", "left_semi")
+    across = checkpoint(searched(stand_in.select(*columns[:4], F.lit(0).alias("block"), F.lit(0).alias("i"), F.lit(0).alias("j"))))
+    linked = inside.union(across)
+    pieces = checkpoint(_with_pieces(large, linked))
+    apart = pieces.groupBy("component").agg(F.countDistinct("piece").alias("pieces")).where("pieces > 1").select("component")
+    open_ = pieces.join(apart, "component", "left_semi")
     met_blocks = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("i"), F.greatest(b, F.col("block")).alias("j"))))
-    pairs = full.select("component", "cls", "block", "tokens", met_blocks.alias("at")).select("component", "cls", "block", "tokens", "at.i", "at.j")
-    return pairs.groupBy("component", "i", "j").applyInArrow(lambda t: _exact(t, words, num, den), "u long, v long")
+    pairs = open_.select(*columns, met_blocks.alias("at")).select(*columns, "at.i", "at.j").where("i <> j")
+    return linked.union(searched(pairs))
+
+
+def _with_pieces(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """Members with ``piece``, the smallest class that links already join them to."""
+    joined = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("joined"))
+    return placed.join(joined, "cls", "left").withColumn("piece", F.coalesce("joined", "cls")).drop("joined")
 
 
 def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -404,11 +498,26 @@ def ngram_jaccard(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100
     table gives no rows.
     """
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    members = checkpoint(set_classes(docs, words))
-    classes = checkpoint(members.where(F.col("cls").isNotNull()).groupBy("cls", "n").agg(F.min("doc_id").alias("rep")))
-    joined = connected_components(class_links(docs, classes, words, num, den))
+    profiles = checkpoint(set_classes(docs, words))
+    hot, members = hot_tokens(profiles), profiles.where("n >= 0")
+    classes = checkpoint(members.where(F.col("cls").isNotNull()).groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    joined = connected_components(class_links(docs, classes, words, num, den, hot))
     label = joined.join(classes, joined.node == classes.cls).select("node", "component", "rep")
     least = label.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = classes.join(label.join(least, "component").select(F.col("node").alias("cls"), "component_id"), "cls", "left")
     of_class = of_class.select("cls", F.coalesce("component_id", "rep").alias("component_id"))
-    return members.join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class_id"))
+    return _labelled(members, classes, of_class).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class_id"))
+
+
+def _labelled(members: DataFrame, classes: DataFrame, of_class: DataFrame) -> DataFrame:
+    """Members with their class's component; classes with many copies are dealt over several partitions.
+
+    A class is hot above a fixed share of all rows, so there is a bounded number of them; only these are broadcast.
+    """
+    share = 4 * shuffle_partitions(members.sparkSession)
+    most = max(100, -(-(members.count()) // share))
+    hot = checkpoint(classes.where(F.col("copies") > most).select("cls", F.ceil(F.col("copies") / most).cast("int").alias("deals")))
+    deal = F.when(F.col("deals").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.col("deals"))).cast("int")
+    dealt = members.join(F.broadcast(hot), "cls", "left").withColumn("deal", deal)
+    labels = of_class.join(F.broadcast(hot), "cls", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("deals") - 1, F.lit(0)))))
+    return dealt.select("cls", "deal", "doc_id", "n").join(labels.select("cls", "deal", "component_id"), ["cls", "deal"], "left")
