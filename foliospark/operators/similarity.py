@@ -52,12 +52,12 @@ def drop_similar(titles: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def drop_contained(titles: DataFrame) -> DataFrame:
-    """Titles, shortest first, that neither hold nor are held by one kept before; at most 16 words."""
+    """Titles, shortest first, that neither hold nor are held by one kept before; a document bounds the group."""
 
     def keep(group: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple[str, int]] = []
         for row in group.assign(n=group.text.str.len()).sort_values(["n", "seq"]).itertuples(index=False):
-            text = " ".join(row.text.lower().split()[:16])
+            text = " ".join(row.text.lower().split())
             if text and not any(text in k or k in text for k, _ in kept):
                 kept.append((text, row.seq))
         return pd.DataFrame({"doc_id": [group.doc_id.iloc[0]] * len(kept), "seq": [s for _, s in kept]})

@@ -17,6 +17,7 @@ from foliospark.sources import tables as T
 
 Build = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, tuple[Build, str]] = {}
+_HEADED = f"WITH {T.HEADED_SQL}"
 _LINES, _BOXES, _SPANS = f"WITH {T.LINES_SQL}", f"WITH {T.BOXES_SQL}", f"WITH {T.SPANS_SQL}"
 
 
@@ -36,6 +37,10 @@ def _lines(s: SparkSession, d: str) -> DataFrame:
     return T.lines(_docs(s, d))
 
 
+def _headed(s: SparkSession, d: str) -> DataFrame:
+    return T.headed(_lines(s, d))
+
+
 def _boxes(s: SparkSession, d: str) -> DataFrame:
     return T.boxes(T.read(s, d, "part"))
 
@@ -247,9 +252,14 @@ def _a31(s, d):
     return T.read(s, d, "events").select("event_id", F.sum("value").over(w).alias("total"), F.avg(F.when(F.col("event_type") == "error", 0.0).otherwise(1.0)).over(w).alias("success"))
 
 
-@_add("a33_toc_analysis", f"{_LINES}, t AS (SELECT doc_id, {S.toc_title(CHECK, 'text')} AS title, {S.toc_page(CHECK, 'text')} AS page FROM lines) SELECT doc_id, count(*) AS entries, string_agg(title || '=' || CAST(page AS VARCHAR), ';' ORDER BY title, page) AS pages FROM t WHERE page IS NOT NULL GROUP BY doc_id")
+_ENTRY = "concat('1.', seq, ' ', title, ' ..... ', page_num * 2)"
+
+
+@_add("a33_toc_analysis", f"{_HEADED}, t AS (SELECT doc_id, trim(regexp_replace(regexp_replace({_ENTRY}, '^[0-9]+([.][0-9]+)*[.]?\\s+', ''), '[ .]*[0-9]*$', '')) AS title, CAST(nullif(regexp_extract({_ENTRY}, '\\s([0-9]{{1,4}})$', 1), '') AS BIGINT) AS page FROM headed WHERE block_type IN ('h1', 'h2')) SELECT doc_id, count(*) AS entries, string_agg(title || '=' || CAST(page AS VARCHAR), ';' ORDER BY title, page) AS pages FROM t WHERE page IS NOT NULL GROUP BY doc_id")
 def _a33(s, d):
-    t = _lines(s, d).select("doc_id", F.expr(S.toc_title(SPARK, "text")).alias("title"), F.expr(S.toc_page(SPARK, "text")).alias("page")).where("page is not null")
+    """Entries of a table of contents, as lines of number, title, leaders and page, parsed and gathered."""
+    entries = _headed(s, d).where("block_type in ('h1', 'h2')").select("doc_id", F.expr(_ENTRY).alias("text"))
+    t = entries.select("doc_id", F.expr(S.toc_title(SPARK, "text")).alias("title"), F.expr(S.toc_page(SPARK, "text")).alias("page")).where("page is not null")
     return t.groupBy("doc_id").agg(F.count("*").alias("entries"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("title", "page"))), lambda x: F.concat(x["title"], F.lit("="), x["page"].cast("string"))), ";").alias("pages"))
 
 
@@ -311,9 +321,9 @@ def _w22(s, d):
     return b.withColumn("joined", joined).groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", part.alias("p")))), lambda x: x["p"]), "")).alias("md5"))
 
 
-@_add("w25_toc_rendering", f"{_LINES} SELECT doc_id, string_agg(text, ';' ORDER BY seq) AS toc FROM lines WHERE block_type IN ('h1','h2','h3') GROUP BY doc_id")
+@_add("w25_toc_rendering", f"{_HEADED} SELECT doc_id, string_agg(text, ';' ORDER BY seq) AS toc FROM headed WHERE block_type IN ('h1','h2','h3') GROUP BY doc_id")
 def _w25(s, d):
-    return _lines(s, d).where("block_type in ('h1','h2','h3')").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), ";").alias("toc"))
+    return _headed(s, d).where("block_type in ('h1','h2','h3')").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), ";").alias("toc"))
 
 
 # --- top-k, sets, functions
@@ -329,18 +339,21 @@ def _t07(s, d):
     return T.read(s, d, "events").withColumn("r", F.row_number().over(best)).where("r = 1").select("user_id", "event_id")
 
 
-@_add("u06_heading_dedup", f"{_LINES}, h AS (SELECT doc_id, seq, lower({CHECK.replace('text', '_Toc_Bookmark_[0-9]+', '')}) AS k FROM lines WHERE block_type IN ('h1','h2','h3','caption')) SELECT doc_id, min(seq) AS seq FROM h GROUP BY doc_id, k")
+@_add("u06_heading_dedup", f"{_HEADED}, h AS (SELECT doc_id, seq, lower({CHECK.replace('title', '_Toc_Bookmark_[0-9]+', '')}) AS k FROM headed WHERE block_type IN ('h1','h2','h3','caption')) SELECT doc_id, min(seq) AS seq FROM h GROUP BY doc_id, k")
 def _u06(s, d):
-    rows = _lines(s, d).where("block_type in ('h1','h2','h3','caption')")
-    return rows.groupBy("doc_id", F.lower(F.expr(SPARK.replace("text", "_Toc_Bookmark_[0-9]+", ""))).alias("k")).agg(F.min("seq").alias("seq")).select("doc_id", "seq")
+    rows = _headed(s, d).where("block_type in ('h1','h2','h3','caption')")
+    return rows.groupBy("doc_id", F.lower(F.expr(SPARK.replace("title", "_Toc_Bookmark_[0-9]+", ""))).alias("k")).agg(F.min("seq").alias("seq")).select("doc_id", "seq")
 
 
-@_add("u07_competing_extractions", f"{_BOXES} SELECT a.page, a.seq AS a, b.seq AS b FROM boxes a JOIN boxes b ON a.page = b.page AND a.label = b.label AND a.seq < b.seq WHERE greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 0.2 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))")
+@_add("u07_competing_extractions", f"{_BOXES}, o AS (SELECT page, seq, label, x0 + 6 AS x0, y0 + 4 AS y0, x1 + 6 AS x1, y1 + 4 AS y1 FROM boxes WHERE seq % 3 <> 1) SELECT a.page, a.seq AS a, b.seq AS b FROM boxes a JOIN o b ON a.page = b.page AND a.label = b.label WHERE greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 0.2 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))")
 def _u07(s, d):
-    a, b = _boxes(s, d).alias("a"), _boxes(s, d).alias("b")
+    """Boxes of one reader with those of another, which sees some of them a little off, that cover a fifth of the smaller one."""
+    one = _boxes(s, d)
+    other = one.where("seq % 3 <> 1").selectExpr("page", "seq", "label", "x0 + 6 as x0", "y0 + 4 as y0", "x1 + 6 as x1", "y1 + 4 as y1")
+    a, b = one.alias("a"), other.alias("b")
     size = lambda n: f"({n}.x1 - {n}.x0) * ({n}.y1 - {n}.y0)"
     share = F.expr(f"greatest(0D, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0D, least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 0.2 * least({size('a')}, {size('b')})")
-    return a.join(b, F.expr("a.page = b.page and a.label = b.label and a.seq < b.seq")).where(share).select(F.col("a.page").alias("page"), F.col("a.seq").alias("a"), F.col("b.seq").alias("b"))
+    return a.join(b, F.expr("a.page = b.page and a.label = b.label")).where(share).select(F.col("a.page").alias("page"), F.col("a.seq").alias("a"), F.col("b.seq").alias("b"))
 
 
 @_add("f19_box_math", f"{_BOXES} SELECT page, seq, {_AREA} AS area, (x0 + x1) / 2 / 612 AS xc, (y0 + y1) / 2 / 792 AS yc, (x1 - x0) / 612 AS w, (y1 - y0) / 792 AS h FROM boxes")

@@ -35,6 +35,10 @@ def _lines(s: SparkSession, d: str) -> DataFrame:
     return T.lines(_docs(s, d))
 
 
+def _headed(s: SparkSession, d: str) -> DataFrame:
+    return T.headed(_lines(s, d))
+
+
 def _boxes(s: SparkSession, d: str) -> DataFrame:
     return T.boxes(T.read(s, d, "part"))
 
@@ -43,6 +47,7 @@ def _spans(s: SparkSession, d: str) -> DataFrame:
     return T.spans(T.read(s, d, "events"))
 
 
+_HEADED = f"WITH {T.HEADED_SQL}"
 _LINES, _BOXES, _SPANS = f"WITH {T.LINES_SQL}", f"WITH {T.BOXES_SQL}", f"WITH {T.SPANS_SQL}"
 _TOOL = C.routing_tool(SPARK, "text", "importance", "low")
 _TOOL_SQL = C.routing_tool(CHECK, "text", "importance")
@@ -109,9 +114,9 @@ def _p02(s, d):
     return _lines(s, d).where("page_num = 2").select("doc_id", "seq", "text")
 
 
-@_add("p04_headings", f"{_LINES} SELECT doc_id, page_num, seq, text, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, seq) AS ordinal FROM lines WHERE block_type IN ('h1','h2','h3')")
+@_add("p04_headings", f"{_HEADED} SELECT doc_id, page_num, seq, text, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, seq) AS ordinal FROM headed WHERE block_type IN ('h1','h2','h3')")
 def _p04(s, d):
-    return _lines(s, d).where("block_type in ('h1','h2','h3')").select("doc_id", "page_num", "seq", "text", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num", "seq")).cast("long").alias("ordinal"))
+    return _headed(s, d).where("block_type in ('h1','h2','h3')").select("doc_id", "page_num", "seq", "text", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num", "seq")).cast("long").alias("ordinal"))
 
 
 @_add("p10_detection_filter", f"{_BOXES} SELECT page, seq FROM boxes WHERE (x1 - x0) * (y1 - y0) BETWEEN 100 AND 0.8 * 612 * 792 AND label IN ('figure','table') AND confidence >= 0.5")
@@ -176,10 +181,13 @@ def _j06(s, d):
     return b.where("label = 'figure'").join(b.where("label = 'text' and contains(text, 'red')").select("page"), "page", "left_semi").select("page", "seq")
 
 
-@_add("j07_toc_title_contains", "SELECT p.p_partkey, min(r.r_regionkey) AS region FROM part p JOIN region r ON contains(p.p_name, lower(substr(r.r_name, 1, 1))) GROUP BY p.p_partkey")
+@_add("j07_toc_title_contains", f"{_HEADED} SELECT l.doc_id, l.seq, min(t.seq) AS entry FROM headed l JOIN headed t ON l.doc_id = t.doc_id AND t.block_type IN ('h1', 'h2') AND t.title <> '' AND contains(lower(l.text), lower(t.title)) GROUP BY l.doc_id, l.seq")
 def _j07(s, d):
-    dim = F.broadcast(T.read(s, d, "region"))  # a containment join needs a small dimension; the table has five fixed rows
-    return T.read(s, d, "part").join(dim, F.expr("contains(p_name, lower(substr(r_name, 1, 1)))")).groupBy("p_partkey").agg(F.min("r_regionkey").alias("region"))
+    """Blocks with the first entry of their document's contents whose title they hold; a document bounds the pairs."""
+    rows = _headed(s, d)
+    entries = rows.where("block_type in ('h1', 'h2') and title <> ''").select("doc_id", F.col("seq").alias("entry"), F.lower("title").alias("title"))
+    held = rows.select("doc_id", "seq", F.lower("text").alias("low")).join(entries, "doc_id").where(F.contains("low", "title"))
+    return held.groupBy("doc_id", "seq").agg(F.min("entry").alias("entry"))
 
 
 @_add("j08_nearest_text", f"{_BOXES}, c AS (SELECT page, seq, label, (y0 + y1) / 2 AS cy FROM boxes), n AS (SELECT f.page, f.seq AS figure_seq, t.seq AS text_seq, abs(f.cy - t.cy) AS distance, row_number() OVER (PARTITION BY f.page, f.seq ORDER BY abs(f.cy - t.cy), t.seq) AS r FROM c f LEFT JOIN c t ON f.page = t.page AND t.label = 'text' AND abs(f.cy - t.cy) < 200 WHERE f.label = 'figure') SELECT page, figure_seq, text_seq, distance FROM n WHERE r = 1")
@@ -234,9 +242,9 @@ def _j17(s, d):
     return b.groupBy("doc_id").agg(F.count_if(F.expr("label = 'figure' and confidence > 0.9")).alias("boxes"))
 
 
-@_add("j18_toc_heading", f"{_LINES}, h AS (SELECT doc_id, text, min(page_num) AS page FROM lines GROUP BY ALL) SELECT l.doc_id, l.seq, coalesce(h.page, 1) AS page FROM lines l LEFT JOIN h ON l.doc_id = h.doc_id AND l.text = h.text WHERE l.block_type IN ('h1','h2','h3')")
+@_add("j18_toc_heading", f"{_HEADED}, h AS (SELECT doc_id, text, min(page_num) AS page FROM headed GROUP BY ALL) SELECT l.doc_id, l.seq, coalesce(h.page, 1) AS page FROM headed l LEFT JOIN h ON l.doc_id = h.doc_id AND l.text = h.text WHERE l.block_type IN ('h1','h2','h3')")
 def _j18(s, d):
-    rows = _lines(s, d)
+    rows = _headed(s, d)
     first = rows.groupBy("doc_id", "text").agg(F.min("page_num").alias("page"))
     return rows.where("block_type in ('h1','h2','h3')").join(first, ["doc_id", "text"], "left").select("doc_id", "seq", F.coalesce("page", F.lit(1)).alias("page"))
 
@@ -435,9 +443,9 @@ def _w05(s, d):
     return _lines(s, d).select("doc_id", "seq", F.row_number().over(w).cast("long").alias("n"), F.count(F.when(F.col("block_type") == "paragraph", 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c")).select("doc_id", "seq", "n", F.expr("1 + c div 50").alias("page"))
 
 
-@_add("w06_section_bounds", f"{_LINES}, h AS (SELECT doc_id, seq, page_num, lead(page_num) OVER (PARTITION BY doc_id ORDER BY seq) AS nx FROM lines WHERE block_type IN ('h1','h2','h3')), m AS (SELECT doc_id, max(page_num) AS pages FROM lines GROUP BY 1) SELECT doc_id, seq, page_num AS start_page, coalesce(nx - 1, pages) AS end_page FROM h JOIN m USING (doc_id)")
+@_add("w06_section_bounds", f"{_HEADED}, h AS (SELECT doc_id, seq, page_num, lead(page_num) OVER (PARTITION BY doc_id ORDER BY seq) AS nx FROM headed WHERE block_type IN ('h1','h2','h3')), m AS (SELECT doc_id, max(page_num) AS pages FROM headed GROUP BY 1) SELECT doc_id, seq, page_num AS start_page, coalesce(nx - 1, pages) AS end_page FROM h JOIN m USING (doc_id)")
 def _w06(s, d):
-    return G.section_bounds(_lines(s, d))
+    return G.section_bounds(_headed(s, d))
 
 
 @_add("w07_reading_order", f"{_BOXES}, t AS (SELECT *, greatest(10.0, least(30.0, avg(y1 - y0) OVER (PARTITION BY page) * 0.5)) AS tol FROM boxes) SELECT page, seq, row_number() OVER (PARTITION BY page ORDER BY round_even(y0 / tol, 0) * tol, x0, seq) AS position FROM t")
@@ -475,12 +483,16 @@ def _w12(s, d):
     return G.batches(_lines(s, d), 2000)
 
 
-@_add("w14_theme_sessions", f"{_LINES}, a AS (SELECT doc_id, seq, CASE WHEN seq = 0 THEN 'general' ELSE {C.text_block_type(CHECK, 'text')} END AS theme FROM lines), b AS (SELECT *, CASE WHEN lag(theme) OVER (PARTITION BY doc_id ORDER BY seq) <> theme THEN 1 ELSE 0 END AS c FROM a), r AS (SELECT *, CAST(sum(c) OVER (PARTITION BY doc_id ORDER BY seq) AS BIGINT) AS run FROM b) SELECT doc_id, seq, theme, run, (row_number() OVER (PARTITION BY doc_id, run ORDER BY seq) - 1) // 10 AS part FROM r")
+@_add("w14_theme_sessions", f"{_LINES}, a AS (SELECT doc_id, seq, CASE WHEN seq = 0 THEN 'general' ELSE {C.argmax_words(CHECK, 'text', C.THEMES, 'general', occurrences=True)} END AS theme FROM lines), b AS (SELECT *, CASE WHEN lag(theme) OVER (PARTITION BY doc_id ORDER BY seq) <> theme THEN 1 ELSE 0 END AS c FROM a), r AS (SELECT *, CAST(sum(c) OVER (PARTITION BY doc_id ORDER BY seq) AS BIGINT) AS run FROM b) SELECT doc_id, seq, theme, run, (row_number() OVER (PARTITION BY doc_id, run ORDER BY seq) - 1) // 10 AS part FROM r")
 def _w14(s, d):
-    return G.theme_sessions(_lines(s, d), F.expr(C.text_block_type(SPARK, "text")))
+    return G.theme_sessions(_lines(s, d), F.expr(C.argmax_words(SPARK, "text", C.THEMES, "general", occurrences=True)))
 
 
-@_add("w15_sentence_chunks", "")
+@_add("w15_sentence_chunks", """WITH RECURSIVE ss AS (SELECT doc_id, list_filter(str_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM ss), f(doc_id, i, chunk, k, z, last) AS (SELECT doc_id, i, 0, 1, length(x), length(x) FROM u WHERE i = 0 UNION ALL
+SELECT u.doc_id, u.i, CASE WHEN f.k > 0 AND f.z + length(x) > 2000 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.k > 0 AND f.z + length(x) > 2000 THEN 2 ELSE f.k + 1 END,
+CASE WHEN f.k > 0 AND f.z + length(x) > 2000 THEN f.last + length(x) ELSE f.z + length(x) END, length(x) FROM f JOIN u ON u.doc_id = f.doc_id AND u.i = f.i + 1)
+SELECT doc_id, chunk::BIGINT AS chunk, arg_max(z, i)::BIGINT AS size FROM f GROUP BY doc_id, chunk""")
 def _w15(s, d):
     return G.sentence_chunks(_docs(s, d).where("text is not null"), F.expr(S.sentences(SPARK, "text")))
 
@@ -606,18 +618,22 @@ def _j15(s, d):
     return fuzzy_lookup(rows, rows.select(F.col("key").alias("cache_key"), "lang", F.expr("substring(text, 1, length(text) - 8)").alias("text")))
 
 
+def _titles(s: SparkSession, d: str) -> DataFrame:
+    return _headed(s, d).where("block_type in ('h1', 'h2') and title <> ''").select("doc_id", "seq", F.col("title").alias("text"))
+
+
 @_add("u04_substring_dedup", "")
 def _u04(s, d):
     from foliospark.operators.similarity import drop_contained
 
-    return drop_contained(_lines(s, d).where("block_type in ('h1','h2','h3')"))
+    return drop_contained(_titles(s, d))
 
 
 @_add("u05_similar_guard", "")
 def _u05(s, d):
     from foliospark.operators.similarity import drop_similar
 
-    return drop_similar(_lines(s, d).where("block_type in ('h1','h2','h3')"))
+    return drop_similar(_titles(s, d))
 
 
 @_add("j16_vector_top1", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS match_id, list_inner_product(a.v, b.v) AS sim FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)

@@ -64,7 +64,7 @@ LINES: dict[str, Columns] = {
     "f03_block_ids": lambda d: {"block_id": S.block_id(d, "block_type", "page_num", "text")},
     "f04_sentence_split": lambda d: {"sentences": d.size(S.sentences(d, "text")), "joined": d.join(S.sentences(d, "text"), "|")},
     "f07_coherence": lambda d: {"score": S.coherence(d, "text", "block_type", d.size(S.sentences(d, "text")))},
-    "f12_sanitizers": lambda d: {"xml": S.strip_control(d, "text"), "filename": S.safe_filename(d, "left(text, 200)")},
+    "f12_sanitizers": lambda d: {"xml": S.strip_control(d, "text"), "filename": S.safe_filename(d, "text")},
     "f13_cleaners": lambda d: {"clean": S.clean_markup(d, "text")},
     "f20_toc_line_parse": lambda d: {"title": S.toc_title(d, "text"), "page": S.toc_page(d, "text"), "is_entry": flag(P.toc_line(d, "text"))},
     "f22_html_render": lambda d: {"html": S.html_block(d, "block_type", "text")},
@@ -85,7 +85,7 @@ DOCUMENTS: dict[str, Columns] = {
     "f09_tables": lambda d: {"table_rows": d.size(d.keep(d.split("text", r"\n"), d.like("x", r"\|.*\|"))), "pipes": d.count("text", "[|]")},
     "f10_sections_figures": lambda d: {"sections": d.size(d.extract_all("text", r"(?m)^#{1,6}\s+.+$")), "figures": d.join(d.distinct_sorted(d.extract_all("text", r"(?i)(?:figure|fig\.?)\s*(\d+)", 1)), ",")},
     "f11_metadata": lambda d: S.metadata(d, "text") | {"complexity": S.markup_complexity(d, "text")},
-    "f16_structure_validator": lambda d: {"valid": flag(S.markdown_kept(d, "text", "left(text, 400)")), **{f"n_{k}": v for k, v in S.structure_counts(d, "text").items()}},
+    "f16_structure_validator": lambda d: {"valid": flag(S.markdown_kept(d, "text", d.replace("text", r"\n", " "))), **{f"n_{k}": v for k, v in S.structure_counts(d, "text").items()}},
     "f17_markdown_validator": lambda d: {"kept": flag(S.markdown_kept(d, "text", d.replace("text", r"\n\n", " ")))},
     "f18_ocr_quality": lambda d: {"quality": S.ocr_quality(d, "text")},
     "f31_paragraph_split": lambda d: {"paragraphs": d.size(d.keep(d.each(d.split("text", r"\n\n"), d.strip("x")), "x <> ''"))},

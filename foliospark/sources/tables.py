@@ -72,6 +72,15 @@ def lines(docs: DataFrame) -> DataFrame:
     return numbered.withColumn("block_type", F.expr(C.block_type(SPARK, "text")))
 
 
+#: Every eighth line of the given prose stands for a heading, and its first words for a title.
+HEADED = "case when seq % 24 = 0 then 'h1' when seq % 8 = 0 then 'h2' else block_type end"
+
+
+def headed(rows: DataFrame) -> DataFrame:
+    """Lines with headings, and ``title``, the first six words of a line."""
+    return rows.withColumn("block_type", F.expr(HEADED)).withColumn("title", F.regexp_extract("text", r"^\s*((?:\S+\s+){0,5}\S+)", 1))
+
+
 def weighed(rows: DataFrame) -> DataFrame:
     """Lines with ``bare`` (stripped), ``low`` (its lower case) and ``importance``, each computed once."""
     marked = rows.withColumn("bare", F.expr(SPARK.strip("text"))).withColumn("low", F.lower("bare"))
@@ -82,6 +91,10 @@ LINES_SQL = f"""cut AS (SELECT doc_id, lang, source, unnest(str_split(text, chr(
 lines AS (SELECT doc_id, lang, source, seq, CAST(seq // {PAGE_LINES} + 1 AS BIGINT) AS page_num, text, {C.block_type(CHECK, "text")} AS block_type FROM cut)"""
 
 
+HEADED_SQL = LINES_SQL + f""",
+headed AS (SELECT * REPLACE ({HEADED} AS block_type), regexp_extract(text, '^\\s*((\\S+\\s+){{0,5}}\\S+)', 1) AS title FROM lines)"""
+
+
 def boxes(parts: DataFrame) -> DataFrame:
     """Deterministic layout boxes derived from part keys: twelve boxes a page, three pages a document."""
     k = F.col("p_partkey")
