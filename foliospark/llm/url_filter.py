@@ -16,7 +16,9 @@ _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Addresses of canonical links and of refresh redirects, in either order of their attributes, and of the base element.
 CANONICAL = (r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", r"""(?is)<link\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)[^>]*?\brel\s*=\s*["']?canonical\b""")
 REFRESH = (r"""(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b[^>]*?\burl\s*=\s*["']?([^"'\s>]+)""", r"""(?is)<meta\b[^>]*?\burl\s*=\s*["']?([^"'\s>]+)[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b""")
-BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+#: Such elements up to the next angle bracket, so that an unclosed one is read only as far as the next begins.
+TAG = r"(?i)<(?:link|meta)\b[^<>]*"
+BASE = r"""(?is)<base\b[^<>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
 
 
 @dataclass(frozen=True)
@@ -89,7 +91,8 @@ def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFra
 
     Targets are resolved against the page's url, or its base element, and redirects against their source.
     """
-    links = F.flatten(F.array(*[F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in (*CANONICAL, *REFRESH)]))
+    of_tag = lambda tag: F.array(*[F.regexp_extract(tag, p, 1) for p in (*CANONICAL, *REFRESH)])
+    links = F.filter(F.flatten(F.transform(F.regexp_extract_all("html", F.lit(TAG), F.lit(0)), of_tag)), lambda x: x != "")
     within = F.regexp_extract("html", BASE, 1)
     base = F.when(within == "", F.col("url")).otherwise(F.coalesce(resolve(F.col("url"), within), F.col("url")))
     marked = F.coalesce(F.col("html").rlike(r"(?i)\bcanonical\b|http-equiv"), F.lit(False))
