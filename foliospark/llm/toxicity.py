@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 import random
 from collections import Counter
@@ -21,6 +20,8 @@ from foliospark.llm.common import held_out, only, remember
 TOXIC_DOCS, ORDINARY_DOCS = 2_500, 5_000
 #: Bounds of the ordinary dictionary's training sample: texts of the first, and pieces of each, of ``WINDOW`` bytes.
 DICTIONARY_DOCS, DICTIONARY_PIECES = 1_500, 32
+#: Bytes of a trained toxic dictionary and of the trainer's samples; substring and segment lengths of the trainings.
+TRAINED_BYTES, SAMPLE, TRAININGS = 64 << 10, 256, ((6, 24), (8, 16))
 #: Bytes of the dictionaries' parts, and of the substrings that tell toxic words.
 TOXIC_BYTES, COMMON_BYTES, GRAMS = 8_192, 3_072, (5, 7, 8, 9)
 #: A substring of the shortest length is toxic if it is this many times as frequent in toxic texts, in so many of them.
@@ -136,9 +137,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _toxic_segments(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Runs of substrings that toxic texts have far more often, picked greedily by what they newly cover.
+    """Stretches of dictionaries trained on toxic texts that these texts hold far more often than ordinary ones.
 
-    Of substrings that tell, only those count that hold no shorter one, so no ordinary ending is learned with a stem.
+    What both classes hold alike would only add noise to the lengths. Of substrings that tell, only those count that hold no shorter one, so no ordinary ending is learned with a stem.
     """
     counts = []
     for texts in (toxic, ordinary):
@@ -161,43 +162,49 @@ def _toxic_segments(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     for gram in sorted(marked, key=len, reverse=True):
         if any(gram[i : i + n] in marked for n in GRAMS if n < len(gram) for i in range(len(gram) - n + 1)):
             del marked[gram]
-    runs: Counter[bytes] = Counter()
-    for word, n in counts[0].items():
-        framed = _framed(word)
-        inside = [False] * len(framed)
+    return _telling(_trained(toxic), marked)
+
+
+def _trained(texts: list[str]) -> list[bytes]:
+    """Contents of dictionaries that zstandard trains on the words of texts, one for each of ``TRAININGS``.
+
+    Samples are pieces of a text's distinct words, framed by spaces, in a fixed random order. Where there is too little to train on, the samples are the content.
+    """
+    rng, samples = random.Random(5), []
+    for text in texts:
+        words = sorted({_framed(w) for w in words_of(text)})
+        rng.shuffle(words)
+        joined = b"".join(words)
+        samples += [joined[i : i + SAMPLE] for i in range(0, len(joined), SAMPLE) if len(joined) - i >= 8]
+    try:
+        return [zstandard.train_dictionary(TRAINED_BYTES, samples, k=k, d=d, level=3).as_bytes() for d, k in TRAININGS]
+    except zstandard.ZstdError:
+        return [b"".join(samples)]
+
+
+def _telling(contents: list[bytes], marked: dict[bytes, int]) -> list[bytes]:
+    """The stretches of trained dictionaries that consist of telling substrings, each that adds one, those of most texts first."""
+    runs: set[bytes] = set()
+    for content in contents:
+        inside = [False] * len(content)
         for length in GRAMS:
-            for at in range(len(framed) - length + 1):
-                if framed[at : at + length] in marked:
+            for at in range(len(content) - length + 1):
+                if content[at : at + length] in marked:
                     inside[at : at + length] = [True] * length
         at = 0
-        while at < len(framed):
+        while at < len(content):
             end = at
-            while end < len(framed) and inside[end]:
+            while end < len(content) and inside[end]:
                 end += 1
             if end > at:
-                runs[framed[at:end]] += n
+                runs.add(content[at:end])
             at = end + 1
-    covered: set[bytes] = set()
-
-    def value(run: bytes) -> int:
-        return sum(marked.get(g, 0) for g in _parts(run) - covered)
-
-    heap = [(-value(r), r) for r in runs]
-    heapq.heapify(heap)
-    picked, size = [], 0
-    while heap:
-        _, run = heapq.heappop(heap)
-        now = value(run)
-        if now < LEAST:
-            continue
-        if heap and now < -heap[0][0]:
-            heapq.heappush(heap, (-now, run))
-            continue
-        if size + len(run) > TOXIC_BYTES:
-            break
-        picked.append(run)
-        size += len(run)
-        covered |= _parts(run)
+    picked, covered, size = [], set(), 0
+    for run in sorted(runs, key=lambda r: (-sum(marked.get(g, 0) for g in _parts(r)), r)):
+        fresh = {g for g in _parts(run) if g in marked} - covered
+        if fresh and size + len(run) <= TOXIC_BYTES:
+            picked.append(run)
+            size, covered = size + len(run), covered | fresh
     return picked
 
 
@@ -249,8 +256,9 @@ def _spread(text: bytes) -> list[bytes]:
 def fit(toxic: list[str], ordinary: list[str]) -> ToxicModel | None:
     """Train both dictionaries on two thirds of the texts and calibrate the thresholds, by length class, on the rest.
 
-    The ordinary dictionary is trained on ordinary text. The toxic one holds the same, so that both treat ordinary
-    words alike, and what toxic texts repeat and ordinary ones don't. None if there is nothing to learn from.
+    zstandard trains dictionaries on ordinary and on toxic text. The toxic side holds the ordinary one, so that both treat ordinary
+    words alike, and those stretches of the trained toxic ones that toxic texts repeat and ordinary ones don't. None if
+    there is nothing to learn from.
     """
     first = lambda texts: [t for i, t in enumerate(texts) if i % 3]
     rest = lambda texts: [t for i, t in enumerate(texts) if not i % 3]
