@@ -476,8 +476,9 @@ def class_links(docs: DataFrame, classes: DataFrame, words: int, num: int, den:
 
 
 def _with_pieces(placed: DataFrame, links: DataFrame) -> DataFrame:
-    """Members with ``piece``, the smallest class that links already join them to."""
-    joined = connected_components(links).select(F.col("node").alias("cls"), F.col("component").alias("joined"))
+    """Members with ``piece``, the smallest class that links already join them to; links of other groups are left aside."""
+    mine = links.join(placed.select(F.col("cls").alias("u")), "u", "left_semi")
+    joined = connected_components(mine).select(F.col("node").alias("cls"), F.col("component").alias("joined"))
     return placed.join(joined, "cls", "left").withColumn("piece", F.coalesce("joined", "cls")).drop("joined")
 
 
