@@ -515,7 +515,13 @@ def _w23(s, d):
     return G.fill_pages(_lines(s, d), F.expr(_KNOWN))
 
 
-@_add("w24_greedy_suppression", "")
+_BOTH = "greatest(0, least(k.x1, o.x1) - greatest(k.x0, o.x0)) * greatest(0, least(k.y1, o.y1) - greatest(k.y0, o.y0))"
+
+
+@_add("w24_greedy_suppression", f"""WITH RECURSIVE {T.BOXES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY confidence DESC, seq, x0, y0, x1, y1) AS r FROM boxes),
+f(page, r, kept) AS (SELECT page, r, [{{'seq': seq, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] FROM o WHERE r = 1 UNION ALL
+SELECT f.page, o.r, CASE WHEN len(list_filter(f.kept, lambda k: {_BOTH} >= 0.5 * least((k.x1 - k.x0) * (k.y1 - k.y0), (o.x1 - o.x0) * (o.y1 - o.y0)))) > 0 THEN f.kept ELSE list_append(f.kept, {{'seq': o.seq, 'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1}}) END FROM f JOIN o ON o.page = f.page AND o.r = f.r + 1),
+e AS (SELECT page, unnest(arg_max(kept, r)) AS b FROM f GROUP BY page) SELECT page, b.seq AS seq FROM e""")
 def _w24(s, d):
     return L.suppress(_boxes(s, d))
 
