@@ -420,7 +420,7 @@ def class_links(docs: DataFrame, classes: DataFrame, words: int, num: int, den:
     :func:`prefix_lengths` gives for the smaller one meet. Of the sets left whole sets travel, and those that share
     fewer than T tokens with all others together go. What is left is ordered by rarity, and sets that share a
     token of their n - T + 1 rarest are joined to candidate groups, by spanning edges only. ``hot`` tokens are known to be
-    shared and are never gathered in one place. Each group's sets then meet once for the exact search. A group of over ``BLOCK`` sets is
+    shared and are not gathered for counting and ranking; only where prefixes meet does each list share a bucket. Each group's sets then meet once for the exact search. A group of over ``BLOCK`` sets is
     searched block by block, then by one set of each piece that this leaves; only groups still in several pieces meet in
     pairs of blocks.
     """
