@@ -31,12 +31,17 @@ def text_block_type(d: Dialect, t: str) -> str:
     )
 
 
+def heading_mark(d: Dialect, t: str) -> str:
+    """What a line has that is typed as a heading, unless an earlier type takes it."""
+    return f"{d.like(t, '^#{1,6} ')} or {P.likely_heading(d, t)} and {P.heading_pattern(d, t)}"
+
+
 def block_type(d: Dialect, t: str) -> str:
     """The typed block of a line: precedence artifact, code, equation, heading, list item, caption, paragraph."""
     level = cases((d.like(t, r"^#\s"), "'h1'"), (d.like(t, r"^##\s"), "'h2'"), (d.like(t, r"^#{3,6}\s"), "'h3'"), otherwise="'h2'")
     return cases(
         (P.processing_artifact(d, t), "'metadata'"), (P.code_block(d, t), "'code_block'"), (P.equation(d, t), "'equation'"),
-        (f"{d.like(t, '^#{1,6} ')} or {P.likely_heading(d, t)} and {P.heading_pattern(d, t)}", level), (P.list_item(d, t), "'list_item'"), (P.caption_mark(d, t), "'caption'"), otherwise="'paragraph'",
+        (heading_mark(d, t), level), (P.list_item(d, t), "'list_item'"), (P.caption_mark(d, t), "'caption'"), otherwise="'paragraph'",
     )
 
 

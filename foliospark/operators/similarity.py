@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,15 +56,36 @@ def drop_similar(titles: DataFrame, threshold: float = 0.8) -> DataFrame:
 def drop_contained(titles: DataFrame) -> DataFrame:
     """Titles, shortest first, that neither hold nor are held by one kept before; a document bounds the group."""
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[str, int]] = []
-        for row in group.assign(n=group.text.str.len()).sort_values(["n", "seq"]).itertuples(index=False):
-            text = " ".join(row.text.lower().split())
-            if text and not any(text in k or k in text for k, _ in kept):
-                kept.append((text, row.seq))
-        return pd.DataFrame({"doc_id": [group.doc_id.iloc[0]] * len(kept), "seq": [s for _, s in kept]})
+    def keep(rows: list[tuple[int, str]]) -> list[int]:
+        kept: list[str] = []
+        seqs = []
+        for seq, title in sorted(rows, key=lambda r: (len(r[1]), *r)):
+            text = " ".join(title.lower().split())
+            if text and not any(text in k or k in text for k in kept):
+                kept.append(text)
+                seqs.append(seq)
+        return seqs
 
-    return titles.select("doc_id", "seq", "text").groupBy("doc_id").applyInPandas(keep, "doc_id long, seq long")
+    return _fold_titles(titles, keep)
+
+
+def _fold_titles(titles: DataFrame, keep: Callable[[list[tuple[int, str]]], list[int]]) -> DataFrame:
+    """The rows (doc_id, seq) whose seq ``keep`` returns of a document's (seq, text).
+
+    A document is one row of an Arrow batch of many, as a group of its own would cost far more than its few titles.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, groups = batch.column("doc_id"), batch.column("titles")
+            rows = groups.flatten()
+            seqs, texts, ends = rows.field("seq").to_pylist(), rows.field("text").to_pylist(), np.cumsum(groups.value_lengths()).tolist()
+            kept = [keep(list(zip(seqs[i:j], texts[i:j], strict=True))) for i, j in zip([0, *ends], ends, strict=False)]
+            owners = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owners)), pa.array([s for k in kept for s in k], pa.int64())], ["doc_id", "seq"])
+
+    rows = F.struct(F.col("seq").cast("long").alias("seq"), "text")
+    return titles.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list(rows).alias("titles")).mapInArrow(fold, "doc_id long, seq long")
 
 
 def translate_lines(rows: Iterator[pd.DataFrame], translate) -> Iterator[pd.DataFrame]:
