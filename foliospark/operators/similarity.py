@@ -39,18 +39,28 @@ def fuzzy_lookup(queries: DataFrame, cache: DataFrame, threshold: float = 0.85)
 
 
 def drop_similar(titles: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Titles (doc_id, seq, text) of a document that resemble none kept before them; a document bounds the group."""
+    """Titles (doc_id, seq, text) of a document that resemble none kept before them; a document bounds the group.
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        rows = []
-        for row in group.sort_values("seq").itertuples(index=False):
-            if all(ratio(row.text.lower(), k) <= threshold for k in kept):
-                kept.append(row.text.lower())
-                rows.append((row.doc_id, row.seq))
-        return pd.DataFrame(rows, columns=["doc_id", "seq"])
-
-    return titles.select("doc_id", "seq", "text").groupBy("doc_id").applyInPandas(keep, "doc_id long, seq long")
+    The matcher's two bounds from lengths and letters rule most pairs out; only the others are aligned.
+    """
+
+    def keep(rows: list[tuple[int, str]]) -> list[int]:
+        kept: list[SequenceMatcher] = []
+        seqs = []
+        for seq, text in sorted(rows):
+            low = text.lower()
+            if not any(_resembles(matcher, low, threshold) for matcher in kept):
+                kept.append(SequenceMatcher(None, "", low))
+                seqs.append(seq)
+        return seqs
+
+    return _fold_titles(titles, keep)
+
+
+def _resembles(matcher: SequenceMatcher, text: str, threshold: float) -> bool:
+    """Whether the ratio of a text and the matcher's own one is over the threshold."""
+    matcher.set_seq1(text)
+    return matcher.real_quick_ratio() > threshold and matcher.quick_ratio() > threshold and matcher.ratio() > threshold
 
 
 def drop_contained(titles: DataFrame) -> DataFrame:

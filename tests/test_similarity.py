@@ -28,6 +28,20 @@ def _one_row_a_document(frame):
     return "FlatMapGroups" not in frame._jdf.queryExecution().toString()
 
 
+def test_similar_titles_equal_a_loop(spark):
+    rows, frame = _titles(spark)
+    want = []
+    for doc, titles in _by_document(rows, None):
+        kept = []
+        for seq, text in titles:
+            if all(M.ratio(text.lower(), k) <= 0.8 for k in kept):
+                kept.append(text.lower())
+                want.append((doc, seq))
+    got = M.drop_similar(frame)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert len(want) < len(rows) and _one_row_a_document(got)
+
+
 def test_contained_titles_equal_a_loop(spark):
     rows, frame = _titles(spark)
     want = []
