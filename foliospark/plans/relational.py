@@ -648,8 +648,6 @@ def _u05(s, d):
 SELECT vec_id, match_id FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, match_id) AS r FROM p) WHERE r = 1""")
 def _j16(s, d):
     """Nearest other vector of the same label for the stated query set, every vec_id divisible by 20."""
-    e = T.read(s, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    a, b = e.where("vec_id % 20 = 0"), e.select(F.col("vec_id").alias("match_id"), "label", F.col("v").alias("w"))
-    sim = F.round(F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y), 9)
-    near = a.join(b, "label").where("vec_id <> match_id").select("vec_id", "match_id", sim.alias("sim"))
-    return near.groupBy("vec_id").agg(F.max_by("match_id", F.struct("sim", -F.col("match_id"))).alias("match_id"))
+    from foliospark.operators.vectors import nearest_of_label
+
+    return nearest_of_label(T.read(s, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("v")))
